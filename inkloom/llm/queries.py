@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .media import op5_iso_media
+from .mixing import OP2_SQL, op2_source_mixing
 from .packing import op4_best_fit_packing
 from .token_store import op1_token_orc
 
@@ -13,9 +15,11 @@ from .token_store import op1_token_orc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": op1_token_orc,
+        "op2_source_mixing": op2_source_mixing,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_iso_media": op5_iso_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mixing": OP2_SQL}
