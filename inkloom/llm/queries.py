@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op6_language_bitmasks
+from .lpf_dedup import op9_repeated_strings
 from .media import op5_iso_media
 from .mixing import OP2_SQL, op2_source_mixing
+from .multi_index import op7_inverted_multi_index
 from .packing import op4_best_fit_packing
+from .simhash import op10_simhash_tiles
 from .token_store import op1_token_orc
+from .toxicity import op8_toxicity_cnn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mixing": op2_source_mixing,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_iso_media": op5_iso_media,
+        "op6_language_bitmasks": op6_language_bitmasks,
+        "op7_inverted_multi_index": op7_inverted_multi_index,
+        "op8_toxicity_cnn": op8_toxicity_cnn,
+        "op9_repeated_strings": op9_repeated_strings,
+        "op10_simhash_tiles": op10_simhash_tiles,
     }
 
 
