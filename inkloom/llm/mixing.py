@@ -74,7 +74,7 @@ def _placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     spark = sizes.sparkSession
     total = max(1, sizes.count())
     buckets = F.ceil(F.col("n") * (2 * partitions(spark)) / total)
-    rows = checked_join(sizes, targets, ["skey"], salt=F.col("key")).withColumn("bucket", F.floor(F.col("key") * buckets / F.lit(float(1 << _KEY_BITS))).cast("long"))
+    rows = checked_join(sizes, targets, ["skey"], salt=F.col("key")).withColumn("bucket", F.floor(F.col("key").cast("double") * buckets / F.lit(float(1 << _KEY_BITS))).cast("long"))
     totals = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     starts = totals.select("skey", "bucket", (F.sum("words").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("words")).alias("start"))
     order = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
