@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of whole texts by the tokenizers library, with a cache of pre-tokens."""
+"""Byte-level BPE ids of whole texts by the tokenizers library, with caches in front of it."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: Pre-tokens that a worker's cache holds at most; then it starts anew.
-CACHE = 800_000
+CACHE = 1_000_000
 # Texts of these characters alone are split here; for them the two classes below are all letters and numbers.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ſ]*")
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -24,12 +25,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Cache:
+    """Strings numbered as they are first seen, with their ids in one flat array."""
+
+    def __init__(self):
+        self.place: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.flat = np.empty(1 << 16, np.int32)
+        self.ends = np.zeros(1, np.int64)
+
+    def numbers(self, strings) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, strings), np.int64)
+
+    def unknown(self) -> list[str]:
+        return list(itertools.islice(self.place, len(self.ends) - 1, None))
+
+    def learn(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        begin = int(self.ends[-1])
+        if begin + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:begin], np.empty(begin + len(ids), np.int32)])
+        self.flat[begin : begin + len(ids)] = ids
+        self.ends = np.concatenate([self.ends, begin + np.cumsum(sizes)])
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the numbered strings, one after another."""
+        begins = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begins
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return np.empty(0, np.int32)
+        return self.flat[np.arange(ends[-1]) + np.repeat(begins - ends + sizes, sizes)]
+
+
 class Encoder:
-    """encode(texts) gives the ids of each text as an int32 array, equal to those of encode_batch().
+    """encode(texts) gives the ids of whole texts, equal to those of encode_batch().
 
     A byte-level BPE encodes each pre-token by itself, so that the library is
-    asked once for each distinct pre-token. Texts with characters outside a
-    plain range, or with a special token's string, go to the library whole.
+    asked once for each distinct pre-token. Pre-tokens of a space and letters
+    are sent to it joined: they split again at their spaces, and the byte
+    lengths of tokens, which add up to the text, tell where each ends. Texts
+    with characters outside a plain range, or with a special token's string, go
+    to the library whole.
     """
 
     def __init__(self, path: str):
@@ -38,64 +73,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = defaultdict(itertools.count().__next__)
-        self.flat = np.empty(1 << 16, np.int32)
-        self.ends = np.zeros(1, np.int64)
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: its string has a character for each
+        self.width[np.fromiter(vocab.values(), np.int64)] = np.fromiter(map(len, vocab), np.int64)
+        self.words = Cache()
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
 
     def _learn(self) -> None:
-        known, n = len(self.ends) - 1, len(self.place)
-        for at in range(known, n, 20_000):
-            ids = self._whole(list(itertools.islice(self.place, at, min(n, at + 20_000))))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            begin, total = self.ends[-1], int(sizes.sum())
-            if begin + total > len(self.flat):
-                self.flat = np.concatenate([self.flat[:begin], np.empty(max(2 * len(self.flat), total), np.int32)])
-            self.flat[begin : begin + total] = np.fromiter(itertools.chain.from_iterable(ids), np.int32, total)
-            self.ends = np.concatenate([self.ends, begin + np.cumsum(sizes)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        words = self.words.unknown()
+        joined = [w[:1] == " " and w[1:].isalpha() for w in words]
+        spaced = [w for w, j in zip(words, joined) if j]
+        _, ids = self._whole(["".join(spaced[at : at + 4000]) for at in range(0, len(spaced), 4000)])
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in spaced), np.int64, len(spaced)))
+        places = np.searchsorted(np.cumsum(self.width[ids]), ends, "right")
+        sizes = np.zeros(len(words), np.int64)
+        joined = np.array(joined, bool)
+        sizes[joined] = np.diff(places, prepend=0)
+        sizes[~joined], others = self._whole([w for w, j in zip(words, joined) if not j])
+        flat = np.empty(int(sizes.sum()), np.int32)
+        mine = np.repeat(joined, sizes)
+        flat[mine], flat[~mine] = ids, others
+        self.words.learn(sizes, flat)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids): how many ids each text has, and all ids one after another."""
         plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        odd = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
-        if len(self.place) > CACHE:
-            self._clear()
-        at = self.place.__getitem__
-        words = [np.fromiter(map(at, _SPLIT.findall(t)), np.int64) if p else None for t, p in zip(texts, plain)]
+        if len(self.words.place) > CACHE:
+            self.words = Cache()
+        words = [_SPLIT.findall(t) if p else () for t, p in zip(texts, plain)]
+        numbers = self.words.numbers(itertools.chain.from_iterable(words))
         self._learn()
-        return [np.asarray(next(odd), np.int32) if w is None else self._gather(w) for w in words]
-
-    def _gather(self, words: np.ndarray) -> np.ndarray:
-        begins = self.ends[words]
-        sizes = self.ends[words + 1] - begins
-        ends = np.cumsum(sizes)
-        if not len(ends):
-            return np.empty(0, np.int32)
-        return self.flat[np.arange(ends[-1]) + np.repeat(begins - ends + sizes, sizes)]
+        ids = self.words.gather(numbers)
+        lengths = np.concatenate([[0], np.cumsum(self.words.ends[numbers + 1] - self.words.ends[numbers])])
+        sizes = np.diff(lengths[np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])])
+        if all(plain):
+            return sizes, ids
+        plain = np.array(plain)
+        odd_sizes, odd = self._whole([t for t, p in zip(texts, plain) if not p])
+        sizes[~plain] = odd_sizes
+        mine, flat = np.repeat(plain, sizes), np.empty(int(sizes.sum()), np.int32)
+        flat[mine], flat[~mine] = ids, odd
+        return sizes, flat
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; workers are used again, so its cache stays warm."""
+    """The worker's encoder for a vocabulary file; workers are used again, so its caches stay warm."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
-def small_batches(texts: list[str | None], most_chars: int = 2_000_000):
-    """(begin, end) of runs of texts with about most_chars characters, or one longer text."""
-    begin = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= most_chars:
-            yield begin, i + 1
-            begin, chars = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def small_batches(batch, column: str = "text", most_bytes: int = 2_000_000):
+    """(slice of an Arrow batch, its texts) in runs of about most_bytes, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most_bytes, "right")) - 1)
+        part = batch.slice(begin, end - begin)
+        yield part, part.column(column).to_pylist()
+        begin = end

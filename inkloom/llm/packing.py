@@ -45,13 +45,14 @@ def document_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
     def pieces(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for begin, end in small_batches(texts):
+            for part, texts in small_batches(batch):
                 rows = []
-                for doc, tokens in zip(ids[begin:end], encoder(tokenizer).encode(texts[begin:end])):
-                    tokens = np.append(tokens, end_id).astype("<u4")
-                    bounds = cut(len(tokens), capacity)
-                    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                sizes, ids = encoder(tokenizer).encode(texts)
+                ends = np.cumsum(sizes)
+                for doc, begin, end in zip(part.column("doc_id").to_pylist(), (ends - sizes).tolist(), ends.tolist()):
+                    tokens = np.append(ids[begin:end], end_id).astype("<u4")
+                    bounds = cut(len(tokens), capacity).tolist()
+                    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                         rows.append((doc, i, a, b - a, zlib.crc32(tokens[a:b]), tokens[a:b].astype(np.int32) if with_ids else None))
                 columns = list(zip(*rows))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_join, partitions, scratch_path, text_or_empty
+from .common import checked_join, materialize, partitions, scratch_path, text_or_empty
 from .encoding import default_tokenizer, encoder, small_batches
 
 SCHEMA = "shard int, seq long, doc_id long, tokens array<int>"
@@ -39,19 +39,16 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
     def encode(batches):
         seq = 0
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for begin, end in small_batches(texts):
-                tokens = encoder(tokenizer).encode(texts[begin:end])
-                sizes = np.fromiter((len(t) + 1 for t in tokens), np.int32, end - begin)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = np.full(int(offsets[-1]), end_id, np.int32)
-                for t, at in zip(tokens, offsets):
-                    flat[at : at + len(t)] = t
+            for part, texts in small_batches(batch):
+                sizes, ids = encoder(tokenizer).encode(texts)
+                flat = np.full(len(ids) + len(texts), end_id, np.int32)
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), sizes)] = ids
+                offsets = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(seq, seq + end - begin)), ids.slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    [pa.array(np.arange(seq, seq + len(texts))), part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                     ["seq", "doc_id", "tokens"],
                 )
-                seq += end - begin
+                seq += len(texts)
 
     ranges = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(shards or partitions(docs.sparkSession), "doc_id")
     encoded = ranges.sortWithinPartitions("doc_id", "text").mapInArrow(encode, "seq long, doc_id long, tokens array<int>")
@@ -81,7 +78,7 @@ def token_digests(stored: DataFrame) -> DataFrame:
                 ["shard", "seq", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    rows = stored.mapInArrow(digest, "shard int, seq long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = materialize(stored.mapInArrow(digest, "shard int, seq long, doc_id long, n_tokens long, ids_crc32 long"), "digests")
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
     inner = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n_tokens")
