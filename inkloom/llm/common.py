@@ -3,6 +3,7 @@ checked broadcast, and connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Salts of the other side when the small side is too large to broadcast.
 SALTS = 16
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,10 +34,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/inkloom-{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def cleaned_shuffles(spark: SparkSession):
+    """Shuffle files of the executions inside go as each ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again, which cuts its lineage."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with cleaned_shuffles(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._inkloom_path = path
     return out
