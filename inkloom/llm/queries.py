@@ -12,6 +12,7 @@ from .media import op5_iso_media
 from .mixing import OP2_SQL, op2_source_mixing
 from .multi_index import op7_inverted_multi_index
 from .packing import op4_best_fit_packing
+from .pii import op3_weak_supervision_pii
 from .simhash import op10_simhash_tiles
 from .token_store import op1_token_orc
 from .toxicity import op8_toxicity_cnn
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": op1_token_orc,
         "op2_source_mixing": op2_source_mixing,
+        "op3_weak_supervision_pii": op3_weak_supervision_pii,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_iso_media": op5_iso_media,
         "op6_language_bitmasks": op6_language_bitmasks,
