@@ -18,8 +18,15 @@ from .token_store import op1_token_orc
 from .toxicity import op8_toxicity_cnn
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_token_orc": op1_token_orc,
         "op2_source_mixing": op2_source_mixing,
         "op3_weak_supervision_pii": op3_weak_supervision_pii,
