@@ -53,11 +53,12 @@ def _revisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "hist_parent_revision",
-    """SELECT user_id AS page_id, event_id AS revision_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent_revision_id
+    """SELECT user_id AS page_id, event_id AS revision_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS parent_revision_id
     FROM events WHERE event_type <> 'error'""",
 )
 def hist_parent_revision(spark, d):
-    return history.with_parent(history.without_bots(_revisions(spark, d))).select("page_id", "revision_id", "parent_revision_id")
+    rows = history.with_parent(history.without_bots(_revisions(spark, d)))
+    return rows.select("page_id", "revision_id", F.coalesce("parent_revision_id", F.lit(-1)).alias("parent_revision_id"))
 
 
 _COLLAPSED = """SELECT user_id AS page_id, event_id AS revision_id, event_type AS username FROM (
@@ -558,10 +559,10 @@ def seeded_sample(spark, d):
     return curate.seeded_sample(table(spark, d, "documents").select("doc_id"), 25, "doc_id")
 
 
-@query("union_frames", "SELECT doc_id, quality, NULL::INTEGER AS toxic FROM labels UNION ALL SELECT doc_id, NULL, toxic FROM labels")
+@query("union_frames", "SELECT doc_id, quality, -1 AS toxic FROM labels UNION ALL SELECT doc_id, -1, toxic FROM labels")
 def union_frames(spark, d):
     labels = table(spark, d, "labels")
-    return evaluate.union_all([labels.select("doc_id", "quality"), labels.select("doc_id", "toxic")])
+    return evaluate.union_all([labels.select("doc_id", "quality"), labels.select("doc_id", "toxic")]).fillna(-1)
 
 
 @query("benchmark_order", "SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS macro_f1 FROM documents GROUP BY lang")
@@ -718,10 +719,10 @@ def chat_fallback(spark, d):
 _ANSWERS = ("Label: 1.", "y kien", "a factual claim", "?", "it is 10", "not check-worthy", "0")
 
 
-@query("parse_label", "SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 2) THEN 1 WHEN doc_id % 7 IN (1, 5, 6) THEN 0 END AS label FROM documents")
+@query("parse_label", "SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 2) THEN 1 WHEN doc_id % 7 IN (1, 5, 6) THEN 0 ELSE -1 END AS label FROM documents")
 def parse_label(spark, d):
     answers = F.array(*map(F.lit, _ANSWERS))
-    return table(spark, d, "documents").select("doc_id", T.parsed_label(F.get(answers, (F.col("doc_id") % 7).cast("int"))).alias("label"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(T.parsed_label(F.get(answers, (F.col("doc_id") % 7).cast("int"))), F.lit(-1)).alias("label"))
 
 
 @query("model_names", "SELECT p_partkey, lower(replace(replace(p_type || '/' || p_name, '/', '_'), ' ', '_')) AS training, coalesce(nullif(trim(regexp_replace(p_type || '/' || p_name, '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'model') AS prompting FROM part")
