@@ -248,7 +248,8 @@ def _count_windows(batches):
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """k, th, begin, end: byte spans of keyed rows whose windows all occur elsewhere too."""
     found = materialize(runs(rows), "runs")
-    shared = found.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    # stored by itself, so that the join below has plain shuffles on both sides, which Spark can split at a hot label
+    shared = materialize(found.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "labels")
     again = materialize(found.join(shared, "label"), "shared")
     place = F.min(F.struct("k", "th", "start", "windows")).alias("place")
     kinds = materialize(again.groupBy("label", "whole").agg(F.count("*").alias("copies"), place), "kinds")
