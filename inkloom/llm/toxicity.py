@@ -243,8 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     # the first documents of each class by hash: ids alone are sorted, and then these texts are read
     ids = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("key"))
     chosen = ids.where("toxic = 1").orderBy("key", "doc_id").limit(toxic).unionAll(ids.where("toxic = 0").orderBy("key", "doc_id").limit(clean))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(toxic + clean)
-    table = rows.select("text", "toxic").toArrow()
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen.select("doc_id", "toxic", "key")), "doc_id")
+    # one text for each chosen id, even where ids repeat
+    table = rows.groupBy("key", "doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().sort_by([("key", "ascending"), ("doc_id", "ascending")])
     return train(table.column("text").to_pylist(), table.column("toxic").to_numpy().astype(np.int64))
 
 
