@@ -8,6 +8,13 @@ at most, so that all other pairs of tiles are skipped. The remaining pairs of
 blocks are compared by numpy exclusive-or and bit counts, and each gives only
 a spanning forest of its links, never the pairs.
 
+near_duplicates() links by the fingerprints alone (the query's contract), or, where
+a similarity is asked for, finds candidates in a wider radius in the same way
+and verifies them: each distinct fingerprint carries a one-permutation MinHash
+sketch of its five-word shingles, and candidates link if the sketches agree.
+Only fingerprints with a neighbour take part in that second comparison, and in a
+group only pairs that nothing links yet are verified.
+
 Defined cases: a null or blank text has fingerprint zero, linked like any other;
 texts of one or two words have one shingle; repeated rows and ids are kept, each
 with its component; a null doc_id does not become a component's id unless all
@@ -30,42 +37,75 @@ SEED = 42
 #: Fingerprints of a block; a pair of blocks is one task's unit of work.
 BLOCK = 8192
 _STEP = 256  # rows of a block that are compared at once
+#: For verified links: five-word shingles with a Jaccard similarity of 0.8 or more differ in at most this many bits of
+#: the fingerprint (measured: 11 of 64 at the most), at which few unrelated texts are candidates.
+WIDE_RADIUS = 11
+SKETCH_SHINGLE = 5
+SKETCH_BINS = 256
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Majority of the bits of the shingles' XXH64, as a signed 64-bit integer."""
+def words_of(text: str | None) -> list[bytes]:
+    # bytes.lower() changes A-Z alone, and bytes.split() cuts at the six ASCII white-space characters
+    return (text or "").encode().lower().split()
+
+
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of each run of width words, repeats included; of all words if there are fewer."""
     import xxhash
 
-    # bytes.lower() changes A-Z alone, and bytes.split() cuts at the six ASCII white-space characters
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        begins = (ends - sizes)[: 1 - width].tolist()
-        hash_of = xxhash.xxh64_intdigest
-        hashes = [hash_of(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    begins = (ends - sizes)[: 1 - width].tolist()
+    hash_of = xxhash.xxh64_intdigest
+    return np.array([hash_of(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist())], "<u8")
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """Majority of the bits of the shingles' XXH64, as a signed 64-bit integer."""
+    words = words_of(text)
+    if not words:
+        return 0
+    bits = np.unpackbits(shingle_hashes(words, width).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(bits), 255):  # sums of up to 255 bits stay within a byte
         counts += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
     return int(np.packbits(counts * 2 > len(bits), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp of each document."""
+def sketch(text: str | None, width: int = SKETCH_SHINGLE, bins: int = SKETCH_BINS) -> bytes:
+    """One-permutation MinHash: the least hash of each bin, cut to 16 bits; 0 is an empty bin."""
+    out = np.zeros(bins, "<u2")
+    words = words_of(text)
+    if words:
+        h = np.sort(shingle_hashes(words, width))[::-1]
+        # of equal bins the last assignment stays, which is the least hash
+        out[(h % bins).astype(np.int64)] = (h // bins % 65535 + 1).astype("<u2")
+    return out.tobytes()
+
+
+def agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of a sketch with each of others."""
+    both = (one[None, :] != 0) | (others != 0)
+    equal = (one[None, :] == others) & (one[None, :] != 0)
+    return equal.sum(axis=1) / np.maximum(both.sum(axis=1), 1)
+
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE, sketched: bool = False) -> DataFrame:
+    """doc_id, fp of each document, and its sketch if asked for."""
 
     def hashed(batches):
         for batch in batches:
             for part, texts in small_batches(batch, most_bytes=8_000_000):
-                fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), fps], ["doc_id", "fp"])
+                columns = [part.column("doc_id"), pa.array([fingerprint(t, width) for t in texts], pa.int64())]
+                if sketched:
+                    columns.append(pa.array([sketch(t) for t in texts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sketch"][: len(columns)])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + (", sketch binary" if sketched else "")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(hashed, schema)
 
 
 class Forest:
@@ -95,45 +135,119 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     return points[moved], points[forest.label[moved]]
 
 
-def _compare(table: pa.Table, radius: int) -> pa.Table:
-    side = table.column("side").to_numpy()
-    fps = table.column("fp").to_numpy().view(np.uint64)
-    inner = bool((side == 2).any())
-    u, v = linked(fps, None, radius) if inner else linked(fps[side == 0], fps[side == 1], radius)
-    return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect the distinct fingerprints (a stored table, column fp) within radius."""
+def verified(fps: np.ndarray, sketches: np.ndarray, split: int | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """As linked(), for links that are within radius and whose sketches agree; fps[:split] and fps[split:] are the blocks."""
+    forest = Forest(len(fps))
+    ends, shift = (len(fps), 0) if split is None else (split, split)
+    columns = fps[shift:]
+    for at in range(0, ends, _STEP):
+        near = np.bitwise_count(fps[at : min(at + _STEP, ends), None] ^ columns[None, :]) <= radius
+        for i in np.flatnonzero(near.any(axis=1)):
+            row = at + int(i)
+            others = np.flatnonzero(near[i]) + shift
+            others = others[forest.label[others] != forest.label[row]]
+            if len(others):
+                good = others[agreement(sketches[row], sketches[others]) >= similarity]
+                if len(good):
+                    forest.merge(row, good)
+    moved = np.flatnonzero(forest.label != np.arange(len(fps)))
+    return fps[moved], fps[forest.label[moved]]
+
+
+def _block_pairs(distinct: DataFrame, radius: int, block: int) -> DataFrame | None:
+    """Rows of distinct with one, two (block codes of a pair to compare) and side (0, 1, or 2 within a block)."""
     spark = distinct.sparkSession
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    tiled = distinct.select("fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("a"), F.bit_count(low).alias("b"))
+    # wide radii leave few tiles of half counts apart: there tiles are whole counts
+    halves = radius < 6
+    upper = F.bit_count(F.shiftrightunsigned("fp", 32))
+    tiled = distinct.withColumns({"a": upper if halves else F.bit_count("fp"), "b": F.bit_count(low) if halves else F.lit(0)})
     # 33 x 33 tiles at most, whatever the input
     tiles = [(r.a, r.b, -(-r.n // block)) for r in tiled.groupBy("a", "b").agg(F.count("*").alias("n")).collect()]
     if not tiles:
-        return spark.createDataFrame([], "u long, v long")
+        return None
     pairs = [(a, b, n, [(c, d, m) for c, d, m in tiles if abs(a - c) + abs(b - d) <= radius]) for a, b, n in tiles]
     table = spark.createDataFrame(pairs, "a int, b int, blocks int, near array<struct<c:int,d:int,blocks:int>>")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    code = lambda a, b, n: (F.col(a) * 64 + F.col(b)).cast("long") * (1 << 20) + n
-    rows = tiled.join(F.broadcast(table), ["a", "b"]).select("fp", code("a", "b", mine).alias("me"), F.explode("near").alias("to"))
-    rows = rows.select("fp", "me", "to", F.explode(F.sequence(F.lit(0), F.col("to.blocks") - 1)).alias("n"))
-    rows = rows.select("fp", "me", code("to.c", "to.d", F.col("n")).alias("it"))
+    code = lambda a, b, n: (F.col(a) * 128 + F.col(b)).cast("long") * (1 << 20) + n
+    names = distinct.columns
+    rows = tiled.join(F.broadcast(table), ["a", "b"]).select(*names, code("a", "b", mine).alias("me"), F.explode("near").alias("to"))
+    rows = rows.select(*names, "me", "to", F.explode(F.sequence(F.lit(0), F.col("to.blocks") - 1)).alias("n"))
+    rows = rows.select(*names, "me", code("to.c", "to.d", F.col("n")).alias("it"))
     side = F.when(F.col("me") == F.col("it"), 2).when(F.col("me") < F.col("it"), 0).otherwise(1)
-    keyed = rows.select("fp", F.least("me", "it").alias("one"), F.greatest("me", "it").alias("two"), side.alias("side"))
-    return keyed.groupBy("one", "two").applyInArrow(lambda t: _compare(t, radius), "u long, v long")
+    return rows.select(*names, F.least("me", "it").alias("one"), F.greatest("me", "it").alias("two"), side.alias("side"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint, component_id of each document."""
-    marked = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    roots = connected_components(materialize(links(distinct.select("fp"), radius, block), "links"))
-    rooted = distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("root"))
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    side = table.column("side").to_numpy()
+    return side, table.column("fp").to_numpy().view(np.uint64), bool((side == 2).any())
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) that connect the distinct fingerprints (a stored table, column fp) within radius."""
+    pairs = _block_pairs(distinct.select("fp"), radius, block)
+    if pairs is None:
+        return distinct.sparkSession.createDataFrame([], "u long, v long")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, fps, inner = _sides(table)
+        u, v = linked(fps, None, radius) if inner else linked(fps[side == 0], fps[side == 1], radius)
+        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    return pairs.groupBy("one", "two").applyInArrow(compare, "u long, v long")
+
+
+def with_neighbours(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """The fingerprints (a stored table) that have another one within radius."""
+    pairs = _block_pairs(distinct.select("fp"), radius, block)
+    if pairs is None:
+        return distinct.select("fp")
+
+    def flag(table: pa.Table) -> pa.Table:
+        side, fps, inner = _sides(table)
+        left, right = (fps, fps) if inner else (fps[side == 0], fps[side == 1])
+        some_left, some_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        for at in range(0, len(left), _STEP):
+            near = np.bitwise_count(left[at : at + _STEP, None] ^ right[None, :]) <= radius
+            if inner:
+                near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+            some_left[at : at + _STEP] = near.any(axis=1)
+            some_right |= near.any(axis=0)
+        return pa.table({"fp": np.concatenate([left[some_left], right[some_right]]).view(np.int64)})
+
+    return pairs.groupBy("one", "two").applyInArrow(flag, "fp long").distinct()
+
+
+def verified_links(distinct: DataFrame, similarity: float, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) of distinct fingerprints (a stored table with sketch) whose texts have the similarity."""
+    flagged = materialize(with_neighbours(distinct, radius, block), "neighbours")
+    some = materialize(distinct.select("fp", "sketch").join(flagged, "fp"), "sketches")
+    pairs = _block_pairs(some, radius, block)
+    if pairs is None:
+        return distinct.sparkSession.createDataFrame([], "u long, v long")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, fps, inner = _sides(table)
+        order = np.argsort(side, kind="stable")
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(fps), -1)
+        u, v = verified(fps[order], sketches[order], None if inner else int((side == 0).sum()), radius, similarity)
+        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    return pairs.groupBy("one", "two").applyInArrow(compare, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
+    """doc_id, fingerprint, component_id of each document; with a similarity, links are verified."""
+    marked = materialize(fingerprints(docs, width, similarity is not None), "fingerprints")
+    first = [F.min("doc_id").alias("doc_id")] + ([F.min("sketch").alias("sketch")] if similarity is not None else [])
+    distinct = materialize(marked.groupBy("fp").agg(*first), "distinct")
+    found = links(distinct, radius, block) if similarity is None else verified_links(distinct, similarity, max(radius, WIDE_RADIUS), block)
+    roots = connected_components(materialize(found, "links"))
+    rooted = distinct.select("fp", "doc_id").join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = materialize(rooted.join(least, "root").select("fp", "component_id"), "classes")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marked.join(classes, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+    return marked.select("doc_id", "fp").join(classes, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
