@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from inkloom.llm import langid, mixing, packing, pii, simhash
 from inkloom.llm.common import materialize
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least similarity of near duplicates.
+SIMILARITY = 0.8
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +27,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id; documents without an id come last."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest id; documents without one come last."""
     stand_in = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
     keyed = docs.withColumn("_id", F.coalesce("doc_id", stand_in))
-    classes = materialize(simhash.near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text")), "classes")
+    classes = materialize(simhash.near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"), similarity=SIMILARITY), "classes")
     first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
     kept = keyed.join(first.distinct(), "_id", "left_semi")
     if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
