@@ -47,10 +47,10 @@ def document_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         for batch in batches:
             for part, texts in small_batches(batch):
                 rows = []
-                sizes, ids = encoder(tokenizer).encode(texts)
+                sizes, ids = encoder(tokenizer, end_id).encode(texts)
                 ends = np.cumsum(sizes)
                 for doc, begin, end in zip(part.column("doc_id").to_pylist(), (ends - sizes).tolist(), ends.tolist()):
-                    tokens = np.append(ids[begin:end], end_id).astype("<u4")
+                    tokens = ids[begin:end].astype("<u4")
                     bounds = cut(len(tokens), capacity).tolist()
                     for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                         rows.append((doc, i, a, b - a, zlib.crc32(tokens[a:b]), tokens[a:b].astype(np.int32) if with_ids else None))

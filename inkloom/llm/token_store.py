@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked_join, materialize, partitions, scratch_path, text_or_empty
@@ -32,6 +32,27 @@ ORC_OPTIONS = {
 }
 
 
+def _range_of(column: Column, bounds: list[int], low: int, high: int) -> Column:
+    """Number of bounds at or below a value, as a binary search of nested conditions."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(column < bounds[middle], _range_of(column, bounds, low, middle)).otherwise(_range_of(column, bounds, middle + 1, high))
+
+
+def by_range(docs: DataFrame, shards: int) -> DataFrame:
+    """docs dealt to ranges of doc_id, nulls first.
+
+    The bounds come from quantiles of the ids, which read that column alone;
+    repartitionByRange would read the texts once more to sample them.
+    """
+    cuts = F.array(*(F.lit(i / shards) for i in range(1, shards)))
+    found = docs.agg(F.percentile_approx("doc_id", cuts, 10_000).alias("q")).first().q if shards > 1 else None
+    bounds = sorted(set(found or []))
+    number = F.coalesce(_range_of(F.col("doc_id"), bounds, 0, len(bounds)), F.lit(0))
+    return docs.repartitionById(len(bounds) + 1, F.when(F.col("doc_id").isNull(), 0).otherwise(number).cast("int"))
+
+
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, shards: int | None = None) -> None:
     """Encode whole texts and write them as ORC shards under path."""
     tokenizer = tokenizer or default_tokenizer()
@@ -40,17 +61,15 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
         seq = 0
         for batch in batches:
             for part, texts in small_batches(batch):
-                sizes, ids = encoder(tokenizer).encode(texts)
-                flat = np.full(len(ids) + len(texts), end_id, np.int32)
-                flat[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), sizes)] = ids
-                offsets = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)
+                sizes, flat = encoder(tokenizer, end_id).encode(texts)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(seq, seq + len(texts))), part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                     ["seq", "doc_id", "tokens"],
                 )
                 seq += len(texts)
 
-    ranges = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(shards or partitions(docs.sparkSession), "doc_id")
+    ranges = by_range(docs.select("doc_id", text_or_empty().alias("text")), shards or partitions(docs.sparkSession))
     encoded = ranges.sortWithinPartitions("doc_id", "text").mapInArrow(encode, "seq long, doc_id long, tokens array<int>")
     encoded.select(F.spark_partition_id().alias("shard"), "seq", "doc_id", "tokens").write.options(**ORC_OPTIONS).orc(path)
 
