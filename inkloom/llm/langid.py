@@ -140,7 +140,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least_share: float = LE
 
     def counted(batches):
         for batch in batches:
-            for part, texts in small_batches(batch, most_bytes=8_000_000):
+            for part, texts in small_batches(batch):
                 lang = np.array([code[x] for x in part.column("lang").to_pylist()], np.int64)
                 h, owner, _ = grams(texts)
                 for one in np.unique(lang):
@@ -154,8 +154,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least_share: float = LE
     return Filter.build(languages, kept.column("lang").to_numpy(), kept.column("h").to_numpy().view(np.uint64))
 
 
-def identified(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred, score and known."""
+def identified(docs: DataFrame, model: Filter, keep: list[str], prefix: str = "") -> DataFrame:
+    """The columns `keep` of docs with lang_pred, score and known, under names with a prefix."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 16 MB for each 64 languages
     names = [f"_{i}" for i in range(len(keep))]
@@ -163,13 +163,13 @@ def identified(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
 
     def predict(batches):
         for batch in batches:
-            for part, texts in small_batches(batch, "_text"):
+            for part, texts in small_batches(batch, "_text", 1_000_000):
                 lang, score, known = shared.value.predict(texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(lang), pa.array(score), pa.array(known)], [*names, "lang_pred", "score", "known"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_text").dtypes)
     out = rows.mapInArrow(predict, f"{schema}, lang_pred string, score double, known double")
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "lang_pred", "score", "known")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), *(F.col(c).alias(prefix + c) for c in ("lang_pred", "score", "known")))
 
 
 def op6_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,9 +121,10 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     ends = rows.where("key = cut_key").withColumn("size", words("doc.text"))
     ends = ends.withColumn("left", F.least("size", F.col("cut_words") - F.sum("size").over(tied) + F.col("size"))).where("left > 0")
     text = F.when(F.col("left") < F.col("size"), first_words(F.col("doc.text"), F.col("left"))).otherwise(F.col("doc.text"))
-    part = ends.withColumn("cut_text", text).select("doc.*", "cut_text")
-    changed = {"text": F.col("cut_text")} | ({"n_chars": F.char_length("cut_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return whole.unionByName(part.withColumns(changed).select(*names))
+    cut = F.col("doc").withField("text", F.col("cut"))
+    if "n_chars" in names:
+        cut = cut.withField("n_chars", F.char_length("cut").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(ends.withColumn("cut", text).select(cut.alias("doc")).select("doc.*"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

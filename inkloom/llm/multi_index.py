@@ -209,3 +209,16 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 def op7_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+n AS (SELECT i, count(*) AS n_links FROM l GROUP BY i),
+r(i, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.i, r.c FROM r JOIN l ON l.j = r.i),
+m AS (SELECT i, min(c) AS component_id FROM r GROUP BY i)
+SELECT m.i AS vec_id, coalesce(n_links, 0) AS n_links, component_id, m.i = component_id AS kept FROM m LEFT JOIN n ON n.i = m.i
+"""

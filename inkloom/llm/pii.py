@@ -285,7 +285,6 @@ def rendered(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with each span's text replaced by its kind in angle brackets; overlapping spans as their union."""
-    names = docs.columns
     marks = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -296,10 +295,13 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    rows = found(docs, model).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+    # the documents go along as one struct, so that their columns may have any names
+    rows = found(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    changed = F.col("doc").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withField("n_chars", F.when(F.size("spans") > 0, size).otherwise(F.col("doc.n_chars")))
+    return rows.select(changed.alias("doc")).select("doc.*")
 
 
 def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

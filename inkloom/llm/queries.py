@@ -10,7 +10,7 @@ from .langid import op6_language_bitmasks
 from .lpf_dedup import op9_repeated_strings
 from .media import op5_iso_media
 from .mixing import OP2_SQL, op2_source_mixing
-from .multi_index import op7_inverted_multi_index
+from .multi_index import OP7_SQL, op7_inverted_multi_index
 from .packing import op4_best_fit_packing
 from .pii import op3_weak_supervision_pii
 from .simhash import op10_simhash_tiles
@@ -41,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op7_inverted_multi_index": OP7_SQL}
