@@ -22,21 +22,21 @@ SIMILARITY = 0.8
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: rejected are those without letters and those whose n-grams no language knows."""
-    found = langid.identified(docs, langid.fit(docs), list(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("known") >= langid.LEAST_KNOWN)).select(*docs.columns)
+    found = langid.identified(docs, langid.fit(docs), list(docs.columns), "_inkloom_")
+    return found.where((F.col("_inkloom_lang_pred") != langid.UND) & (F.col("_inkloom_known") >= langid.LEAST_KNOWN)).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest id; documents without one come last."""
     stand_in = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", stand_in))
-    classes = materialize(simhash.near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"), similarity=SIMILARITY), "classes")
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    kept = keyed.join(first.distinct(), "_id", "left_semi")
+    keyed = docs.withColumn("_inkloom_id", F.coalesce("doc_id", stand_in))
+    classes = materialize(simhash.near_duplicates(keyed.select(F.col("_inkloom_id").alias("doc_id"), "text"), similarity=SIMILARITY), "classes")
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_inkloom_id"))
+    kept = keyed.join(first.distinct(), "_inkloom_id", "left_semi")
     if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept.select(*docs.columns)
     # repeated rows of one id are in the same group
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    return kept.withColumn("_inkloom_text", F.xxhash64("text")).dropDuplicates(["_inkloom_id", "_inkloom_text"]).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
