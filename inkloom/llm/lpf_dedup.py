@@ -12,8 +12,9 @@ window is repeated if one of them reaches WINDOW. Labels with very many
 different rows (a passage in a third of all documents) are settled by counting
 their windows instead, which is as exact and spreads over all tasks.
 
-mode "all" removes each occurrence, "later" keeps the first in order of doc_id
-and place.
+Every occurrence of a repeated string is removed, or, with keep_first, every one
+but the first in the order of ids and places: there a window goes if its longest
+previous factor reaches WINDOW. Rows with the same id and text are one place.
 
 Defined cases: a null text is empty; texts shorter than WINDOW stay; overlapping
 repeats within one document count; repeated rows are copies of each other; null
@@ -135,11 +136,11 @@ def suffix_classes(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
     A suffix that ends before depth ranks below its extensions.
     """
     n = len(text)
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(_PACKED, np.int64)])
+    width = min(_PACKED, depth)
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(width, np.int64)])
     key = np.zeros(n, np.int64)
-    for i in range(_PACKED):
+    for i in range(width):
         key = key * 257 + padded[i : i + n]
-    width = _PACKED
     while True:
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)
@@ -205,8 +206,12 @@ def _spans_of(k: np.ndarray, th: np.ndarray, at: np.ndarray, hit: np.ndarray, ow
     return pa.RecordBatch.from_arrays([pa.array(k[who], pa.int64()), pa.array(th[who], pa.int32()), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["k", "th", "begin", "end"])
 
 
-def _settle(rows: list[tuple]) -> pa.RecordBatch:
-    """Repeated windows of the single rows among whole labels; (label, k, th, start, copies, bytes) by label."""
+def _settle(rows: list[tuple], keep_first: bool) -> pa.RecordBatch:
+    """Repeated windows among whole labels; (label, k, th, start, copies, bytes) in this order.
+
+    Without keep_first only rows without copies are asked for: the others are
+    settled. With it, each row is asked for windows that stand earlier.
+    """
     label, k, th, start, copies = (np.array([r[i] for r in rows], np.int64) for i in range(5))
     sizes = np.array([len(r[5]) for r in rows], np.int64)
     windows = sizes - WINDOW + 1
@@ -216,21 +221,25 @@ def _settle(rows: list[tuple]) -> pa.RecordBatch:
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     # equal windows have equal labels, so that the labels may be ordered together
     previous, following = long_factors(text, base[owner] + inner)
-    return _spans_of(k, th, start[owner] + inner, (previous | following) & (copies[owner] == 1), owner)
+    hit = previous if keep_first else (previous | following) & (copies[owner] == 1)
+    return _spans_of(k, th, start[owner] + inner, hit, owner)
 
 
-def _settle_all(batches):
-    held: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("label", "k", "th", "start", "copies", "bytes"))):
-            if size >= _BATCH and row[0] != held[-1][0]:
-                yield _settle(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[5])
-    if held:
-        yield _settle(held)
+def _settle_all(keep_first: bool):
+    def settle(batches):
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("label", "k", "th", "start", "copies", "bytes"))):
+                if size >= _BATCH and row[0] != held[-1][0]:
+                    yield _settle(held, keep_first)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[5])
+        if held:
+            yield _settle(held, keep_first)
+
+    return settle
 
 
 def _count_windows(batches):
@@ -245,27 +254,31 @@ def _count_windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "k", "th", "begin", "copies"])
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """k, th, begin, end: byte spans of keyed rows whose windows all occur elsewhere too."""
+def repeated_spans(rows: DataFrame, keep_first: bool = False) -> DataFrame:
+    """k, th, begin, end: byte spans of keyed rows whose windows all occur elsewhere too, or earlier with keep_first."""
     found = materialize(runs(rows), "runs")
     # stored by itself, so that the join below has plain shuffles on both sides, which Spark can split at a hot label
     shared = materialize(found.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "labels")
     again = materialize(found.join(shared, "label"), "shared")
     place = F.min(F.struct("k", "th", "start", "windows")).alias("place")
     kinds = materialize(again.groupBy("label", "whole").agg(F.count("*").alias("copies"), place), "kinds")
-    equal = again.join(kinds.where("copies > 1").select("label", "whole"), ["label", "whole"])
+    equal = again.join(kinds.where("copies > 1").select("label", "whole", "place"), ["label", "whole"])
+    if keep_first:
+        equal = equal.where("not (k = place.k and th = place.th and start = place.start)")
     equal = equal.select("k", "th", F.col("start").alias("begin"), (F.col("start") + F.col("windows") - 1 + WINDOW).alias("end"))
-    unsettled = kinds.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("copies") == 1).alias("single")).where("n > 1 and single > 0")
+    least = "n > 1" if keep_first else "n > 1 and single > 0"
+    unsettled = kinds.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("copies") == 1).alias("single")).where(least)
     wanted = kinds.join(unsettled.select("label", (F.col("n") > LABEL_ROWS).alias("many")), "label")
     entry = F.struct("label", F.col("place.start").alias("start"), F.col("place.windows").alias("windows"), "copies", "many")
     # a document lists its own runs: no more than it has bytes
     lists = wanted.select(F.col("place.k").alias("k"), F.col("place.th").alias("th"), entry.alias("entry")).groupBy("k", "th").agg(F.collect_list("entry").alias("wanted"))
     contexts = materialize(rows.join(lists, ["k", "th"], "left").where("wanted is not null").mapInArrow(_contexts, CONTEXTS), "contexts")
-    few = contexts.where("not many").repartition("label").sortWithinPartitions("label").mapInArrow(_settle_all, SPANS)
+    few = contexts.where("not many").repartition("label").sortWithinPartitions("label", "k", "th", "start").mapInArrow(_settle_all(keep_first), SPANS)
     windows = contexts.where("many").mapInArrow(_count_windows, "one long, two long, k long, th int, begin int, copies long")
-    common = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    many = windows.where("copies = 1").join(common, ["one", "two"]).select("k", "th", "begin", (F.col("begin") + WINDOW).alias("end"))
-    return equal.unionByName(few).unionByName(many)
+    spot = F.struct("k", "th", "begin")
+    common = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(spot).alias("first")).where("n > 1").select("one", "two", "first")
+    many = windows.join(common, ["one", "two"]).where(spot != F.col("first") if keep_first else F.col("copies") == 1)
+    return equal.unionByName(few).unionByName(many.select("k", "th", "begin", (F.col("begin") + WINDOW).alias("end")))
 
 
 def _removed(batches):
@@ -285,10 +298,10 @@ def _removed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of each document."""
     rows = keyed(docs)
-    spans = repeated_spans(rows).groupBy("k", "th").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    spans = repeated_spans(rows, keep_first).groupBy("k", "th").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     joined = rows.join(spans, ["k", "th"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

@@ -22,15 +22,19 @@ def components(n, pairs):
     return [find(i) for i in range(n)]
 
 
-def repeated(docs, window=200):
-    """{doc_id: (n_bytes, n_removed, n_spans, sha256)}"""
+def repeated(docs, window=200, keep_first=False):
+    """(doc_id, n_bytes, n_removed, n_spans, sha256) of each document; with keep_first docs are in order."""
     texts = [(d, (t or "").encode()) for d, t in docs]
+    first = {}
+    for n, (_, t) in enumerate(texts):
+        for i in range(len(t) - window + 1):
+            first.setdefault(t[i : i + window], (n, i))
     seen = Counter(t[i : i + window] for _, t in texts for i in range(len(t) - window + 1))
     out = []
-    for d, t in texts:
+    for n, (d, t) in enumerate(texts):
         gone = bytearray(len(t))
         for i in range(len(t) - window + 1):
-            if seen[t[i : i + window]] > 1:
+            if seen[t[i : i + window]] > 1 and not (keep_first and first[t[i : i + window]] == (n, i)):
                 gone[i : i + window] = b"\1" * window
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         kept = bytes(b for b, g in zip(t, gone) if not g)
