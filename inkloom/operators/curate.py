@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import digitize, finite, quantile_edges, ratio
 from ..functions.text import collapse_whitespace, word_count
+from .scalars import with_scalars
 
 
 def first_of_pairs(rows: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -22,7 +23,7 @@ def by_length_percentiles(rows: DataFrame, lower: float = 0.05, upper: float = 0
     """(rows with a word count between the percentiles, both included; a row of cutoffs and counts)."""
     counted = rows.withColumn("n_words", word_count(text))
     cutoffs = counted.agg(F.percentile("n_words", F.array(F.lit(lower), F.lit(upper))).alias("q")).select(F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))
-    judged = counted.crossJoin(F.broadcast(cutoffs))  # a single row
+    judged = with_scalars(counted, cutoffs)
     kept = judged.where(F.col("n_words").between(F.col("lower"), F.col("upper"))).drop("lower", "upper")
     report = judged.agg(
         F.max("lower").alias("lower"),
@@ -44,7 +45,7 @@ def by_perplexity_cutoff(rows: DataFrame, column: str = "perplexity_score") -> t
     q = rows.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9))).alias("q"))
     fence = F.get("q", F.lit(1)) + 1.5 * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))
     cutoffs = q.select(fence.alias("upper_fence"), F.get("q", F.lit(2)).alias("p90"), F.least(F.get("q", F.lit(2)), fence).alias("cutoff"))
-    judged = rows.crossJoin(F.broadcast(cutoffs))  # a single row
+    judged = with_scalars(rows, cutoffs)
     valid = valid_perplexity(F.col(column))
     kept = judged.where(valid & (F.col(column) <= F.col("cutoff"))).drop(*cutoffs.columns)
     report = judged.agg(
@@ -61,7 +62,7 @@ def by_perplexity_cutoff(rows: DataFrame, column: str = "perplexity_score") -> t
 def with_bins(rows: DataFrame, column: str, bins: int, name: str, edges_from: DataFrame | None = None) -> DataFrame:
     """rows with <name>: the quantile bin of a column, by the edges of another frame if given."""
     edges = (edges_from if edges_from is not None else rows).agg(quantile_edges(F.col(column), bins).alias("_edges"))
-    return rows.crossJoin(F.broadcast(edges)).withColumn(name, digitize(F.col(column).cast("double"), F.col("_edges"))).drop("_edges")
+    return with_scalars(rows, edges).withColumn(name, digitize(F.col(column).cast("double"), F.col("_edges"))).drop("_edges")
 
 
 def stratum(label: str = "label", length_bin: str = "len_bin", perplexity_bin: str = "ppl_bin") -> Column:
@@ -131,12 +132,14 @@ def described(rows: DataFrame, column: str, *by: str) -> DataFrame:
 def quality_flags(rows: DataFrame, label: str = "label", short: int = 10, long: int = 500) -> DataFrame:
     """Markup, short, long and duplicate counts of cleaned texts.
 
-    Copies are grouped first, with partial sums, so that no distinct count holds all texts.
+    Texts are replaced by 128-bit digests and their flags before the shuffle;
+    copies are then grouped with partial sums.
     """
-    clean = collapse_whitespace("text")
-    pairs = rows.select(clean.alias("text"), F.col(label).alias("label")).where("text <> ''").groupBy("text", "label").agg(F.count("*").alias("n"))
-    texts = pairs.groupBy("text").agg(F.sum("n").alias("n"), F.count("*").alias("labels"))
-    size = F.char_length("text")
+    clean = rows.select(collapse_whitespace("text").alias("text"), F.col(label).alias("label")).where("text <> ''")
+    short_rows = clean.select(F.md5("text").alias("digest"), "label", F.char_length("text").alias("size"), F.col("text").rlike("<[^>]+>").alias("markup"))
+    pairs = short_rows.groupBy("digest", "label").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("markup").alias("markup"))
+    texts = pairs.groupBy("digest").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.first("size").alias("size"), F.first("markup").alias("markup"))
+    size = F.col("size")
     flagged = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     out = texts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"),
@@ -144,7 +147,7 @@ def quality_flags(rows: DataFrame, label: str = "label", short: int = 10, long:
         F.coalesce(F.sum(F.col("n") - F.col("labels")), F.lit(0)).alias("n_duplicate_text_label"),
         flagged(size < short).alias("n_short_text"),
         flagged(size > long).alias("n_long_text"),
-        flagged(F.col("text").rlike("<[^>]+>")).alias("n_has_markup"),
+        flagged(F.col("markup")).alias("n_has_markup"),
     )
     n = F.greatest("n_records", F.lit(1))
     return out.withColumns({"pct_duplicate_text": F.round(F.col("n_duplicate_text") / n, 10), "pct_has_markup": F.round(F.col("n_has_markup") / n, 10)})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import digitize, quantile_edges, ratio
 from ..functions.text import truncated
+from .scalars import with_scalars
 
 METRICS = ("accuracy", "macro_f1", "weighted_f1", "precision", "recall", "f1", "precision_neg", "recall_neg", "f1_neg", "support_neg", "precision_pos", "recall_pos", "f1_pos", "support_pos")
 
@@ -65,7 +66,7 @@ def metrics_with_coverage(rows: DataFrame, *by: str) -> DataFrame:
     marked = rows.withColumn("pred_label", F.when(valid, F.col("pred_label")))
     if by:
         return metrics_of(marked, *by).join(rows.groupBy(*by).agg(coverage), list(by))
-    return metrics_of(marked).crossJoin(F.broadcast(rows.agg(coverage)))  # single rows
+    return with_scalars(metrics_of(marked), rows.agg(coverage))
 
 
 def metrics_by_bin(rows: DataFrame, column: str, bins: int, edges_from: DataFrame | None = None) -> DataFrame:
@@ -76,7 +77,7 @@ def metrics_by_bin(rows: DataFrame, column: str, bins: int, edges_from: DataFram
     """
     edges = (edges_from if edges_from is not None else rows).agg(quantile_edges(F.col(column), bins).alias("edges"))
     bounds = edges.select(F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("bin", "edge_low"), "edges").select("bin", "edge_low", F.get("edges", F.col("bin") + 1).alias("edge_high"))
-    binned = rows.crossJoin(F.broadcast(edges)).withColumn("bin", digitize(F.col(column).cast("double"), F.col("edges"))).drop("edges").where("bin is not null")
+    binned = with_scalars(rows, edges).withColumn("bin", digitize(F.col(column).cast("double"), F.col("edges"))).drop("edges").where("bin is not null")
     support = binned.groupBy("bin").agg(F.count("*").alias("support_total"))
     found = metrics_with_coverage(binned, "bin").join(support, "bin")
     return bounds.join(F.broadcast(found), "bin", "left").fillna(0, ["support_total", "support_neg", "support_pos"])  # a row for each bin
@@ -131,7 +132,7 @@ def with_prompt(rows: DataFrame, template: dict[str, str], examples: DataFrame,
     head = "\n".join(template[k] for k in ("task", "instruction", "rule"))
     blocks = F.when(F.col("block") == "", F.lit(head)).otherwise(F.concat_ws("\n", F.lit(head), F.lit(""), F.col("block")))
     prompt = F.concat_ws("\n", blocks, F.lit(""), F.concat(F.lit(template["input"] + ": "), truncated(F.col("text"), most)), F.lit(template["label"] + ": "))
-    return rows.crossJoin(F.broadcast(examples)).withColumn("prompt", prompt).drop("block")
+    return with_scalars(rows, examples).withColumn("prompt", prompt).drop("block")
 
 
 def chat_text(messages: Column) -> Column:

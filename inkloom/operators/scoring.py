@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
+from .scalars import with_scalars
 
 
 def unigram_counts(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -30,10 +31,10 @@ def unigram_perplexity(rows: DataFrame, key: str, counts: DataFrame | None = Non
     """
     counts = counts if counts is not None else unigram_counts(rows, text)
     totals = counts.agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-    rates = counts.crossJoin(F.broadcast(totals)).select("token", (-F.ln((F.col("n") + 1) / (F.col("total") + F.col("types") + 1))).alias("loss"))
+    rates = with_scalars(counts, totals).select("token", (-F.ln((F.col("n") + 1) / (F.col("total") + F.col("types") + 1))).alias("loss"))
     used = rows.select(key, F.explode(word_tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("k"))
     unseen = totals.select((-F.ln(1 / (F.col("total") + F.col("types") + 1))).alias("unseen"))
-    losses = used.join(rates, "token", "left").crossJoin(F.broadcast(unseen)).groupBy(key).agg((F.sum(F.coalesce("loss", "unseen") * F.col("k")) / F.sum("k")).alias("_loss"))
+    losses = with_scalars(used.join(rates, "token", "left"), unseen).groupBy(key).agg((F.sum(F.coalesce("loss", "unseen") * F.col("k")) / F.sum("k")).alias("_loss"))
     return rows.join(losses, key, "left").withColumn("perplexity_score", F.coalesce(F.exp("_loss"), F.lit(float("inf")))).drop("_loss")
 
 

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scalars import with_scalars
+
 
 def page_order(page_id: Column) -> list[Column]:
     """Numeric ids first by number, then the others by text."""
@@ -32,7 +34,7 @@ def by_quality_then_citations(rows: DataFrame, k: int) -> DataFrame:
     """
     quality, citations, page = F.col("quality_score"), F.col("citation_count"), F.col("page_id")
     cutoff = rows.orderBy(quality.desc(), citations.desc(), *page_order(page)).limit(max(0, k)).agg(F.min("quality_score").alias("quality_cutoff"))
-    pool = rows.join(F.broadcast(cutoff), quality >= F.col("quality_cutoff"))  # a single row
+    pool = with_scalars(rows, cutoff).where(quality >= F.col("quality_cutoff")).drop("quality_cutoff")
     return _ranked(pool, [citations.desc(), quality.desc(), *page_order(page)], k)
 
 
@@ -52,7 +54,7 @@ def by_weighted_z(rows: DataFrame, k: int, w_quality: float = 0.7, w_citation: f
         return F.when(F.col(f"std_{c}") > 0, (F.col(c) - F.col(f"mean_{c}")) / F.nullif(F.col(f"std_{c}"), F.lit(0.0))).otherwise(0.0)
 
     final = F.round(wq * z("quality_score") + wc * z("citation_count"), 10)
-    scored = rows.crossJoin(F.broadcast(stats)).withColumn("final_score", final).drop(*stats.columns)  # a single row
+    scored = with_scalars(rows, stats).withColumn("final_score", final).drop(*stats.columns)
     order = [F.desc("final_score"), F.desc("quality_score"), F.desc("citation_count"), *page_order(F.col("page_id"))]
     return _ranked(scored, order, k)
 
@@ -68,7 +70,7 @@ def summary(rows: DataFrame, *columns: str) -> DataFrame:
 def ties_at_cutoff(rows: DataFrame, selected: DataFrame, column: str) -> DataFrame:
     """The least selected value of a column, and how many rows have it."""
     cutoff = selected.agg(F.min(column).alias("cutoff"))
-    return rows.join(F.broadcast(cutoff), F.col(column) == F.col("cutoff"), "inner").groupBy("cutoff").agg(F.count("*").alias("ties"))
+    return with_scalars(rows, cutoff).where(F.col(column) == F.col("cutoff")).groupBy("cutoff").agg(F.count("*").alias("ties"))
 
 
 def overlap(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
@@ -97,7 +99,7 @@ def cutoff_diagnostics(rows: DataFrame, share: float, column: str = "quality_sco
     top_n = max(1, math.floor(n * share + 0.5))
     score = F.col(column)
     cutoff = rows.orderBy(score.desc()).limit(top_n).agg(F.min(score).alias("cutoff"))
-    joined = rows.select(score.alias("score")).crossJoin(F.broadcast(cutoff))  # a single row
+    joined = with_scalars(rows.select(score.alias("score")), cutoff)
     quartiles = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return joined.agg(
         F.count("*").alias("n"),

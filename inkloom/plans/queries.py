@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow_text, numeric, text as T
 from ..operators import curate, evaluate, history, probreview, scoring, selection, sentences
+from ..operators.scalars import with_scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,7 +485,7 @@ def _partly(spark: SparkSession, d: str) -> DataFrame:
 @query("metrics_coverage", f"SELECT m.*, round((SELECT count(pred_label) / count(*) FROM ({_PARTLY})), 10) AS valid_coverage FROM ({_metrics_sql(_PARTLY)}) m")
 def metrics_coverage(spark, d):
     out = evaluate.metrics_with_coverage(_partly(spark, d))
-    return evaluate.rounded(out.drop("valid_coverage")).crossJoin(out.select("valid_coverage"))
+    return with_scalars(evaluate.rounded(out.drop("valid_coverage")), out.select("valid_coverage"))
 
 
 _BINNED = f"SELECT *, {_BIN}::INTEGER AS bin FROM ({_PARTLY}), ({_edges(_PARTLY)})"
