@@ -308,3 +308,17 @@ def remove_repeats(docs: DataFrame, keep_first: bool = False) -> DataFrame:
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+#: Over hexadecimal digits, two for each byte, because SQL strings count characters.
+OP9_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS x FROM (SELECT r, h, unnest(range(greatest(length(h) // 2 - 199, 0))) AS i FROM d)),
+c AS (SELECT r, i FROM w WHERE x IN (SELECT x FROM w GROUP BY x HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(CASE WHEN i - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM c)),
+s AS (SELECT r, min(i) AS b, max(i) + 200 AS e FROM g GROUP BY r, run),
+k AS (SELECT s.r, b, e, substr(h, 2 * lag(e, 1, 0) OVER o + 1, 2 * (b - lag(e, 1, 0) OVER o)) AS piece FROM s JOIN d USING (r) WINDOW o AS (PARTITION BY s.r ORDER BY b)),
+a AS (SELECT r, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(piece, '' ORDER BY b) AS head FROM k GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN a USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op6_language_bitmasks
-from .lpf_dedup import op9_repeated_strings
+from .lpf_dedup import OP9_SQL, op9_repeated_strings
 from .media import op5_iso_media
 from .mixing import OP2_SQL, op2_source_mixing
 from .multi_index import OP7_SQL, op7_inverted_multi_index
@@ -41,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op3_weak_supervision_pii": OP3_SQL, "op7_inverted_multi_index": OP7_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op3_weak_supervision_pii": OP3_SQL, "op7_inverted_multi_index": OP7_SQL, "op9_repeated_strings": OP9_SQL}
