@@ -151,7 +151,7 @@ def cite_topk(spark, d):
 def cite_count(spark, d):
     named = F.transform(F.sequence(F.lit(1), F.col("doc_id") % 3 + 1), lambda i: F.concat(F.lit('<ref name="n'), i, F.lit('">x</ref> <ref name="n'), i, F.lit('">y</ref> ')))
     plain = F.repeat(F.lit("<REF>z</REF> "), (F.col("doc_id") % 4).cast("int"))
-    raw = F.concat(F.array_join(named, ""), F.substring("text", 1, 200), plain, F.lit('<ref group="g"/>'))
+    raw = F.concat(F.array_join(named, ""), F.col("text"), plain, F.lit('<ref group="g"/>'))
     return table(spark, d, "documents").select("doc_id", T.citation_count(raw).alias("citations"), T.reference_tag_count(raw).alias("tags"))
 
 
@@ -610,41 +610,35 @@ def txt_html_comments(spark, d):
     return table(spark, d, "pages").select("page_id", T.remove_comments(F.concat(F.lit("<!-- a \n b -->"), "html", F.lit("<!-- open"))).alias("html"))
 
 
-@query("txt_strip_tags", "SELECT doc_id, text || '<ref>k</ref>' || '<br>' AS text FROM documents WHERE text NOT LIKE '%<%'")
+@query("txt_strip_tags", "SELECT doc_id, text || '<ref>k</ref>' || '<br>' AS text FROM documents")
 def txt_strip_tags(spark, d):
-    rows = table(spark, d, "documents").where(~F.contains("text", F.lit("<")))
-    return rows.select("doc_id", T.remove_tags_except_ref(F.concat(F.lit('<div class="a">gone</DIV>'), "text", F.lit("<references/><ref>k</ref><br>"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", T.remove_tags_except_ref(F.concat(F.lit('<div class="a">gone</DIV>'), "text", F.lit("<references/><ref>k</ref><br>"))).alias("text"))
 
 
-@query("txt_templates", "SELECT doc_id, left(text, 300) || '}}tail' AS text FROM documents WHERE text NOT LIKE '%{%' AND text NOT LIKE '%}%'")
+@query("txt_templates", "SELECT doc_id, text || '}}tail' AS text FROM documents")
 def txt_templates(spark, d):
-    rows = table(spark, d, "documents").where(~F.contains("text", F.lit("{")) & ~F.contains("text", F.lit("}")))
-    return rows.select("doc_id", T.remove_templates(F.concat(F.lit("{{a{{b}}c}}"), F.substring("text", 1, 300), F.lit("}}tail{{open"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", T.remove_templates(F.concat(F.lit("{{a{{b}}c}}"), "text", F.lit("}}tail{{open"))).alias("text"))
 
 
-@query("txt_tables", "SELECT doc_id, left(text, 300) || 'x' AS text FROM documents WHERE text NOT LIKE '%|%' AND text NOT LIKE '%{%' AND text NOT LIKE '%}%'")
+@query("txt_tables", "SELECT doc_id, text || 'x' AS text FROM documents")
 def txt_tables(spark, d):
-    rows = table(spark, d, "documents").where(~F.col("text").rlike(r"[|{}]"))
-    return rows.select("doc_id", T.remove_tables(F.concat(F.lit("{|a{|b|}c|}"), F.substring("text", 1, 300), F.lit("{|r|}x"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", T.remove_tables(F.concat(F.lit("{|a{|b|}c|}"), "text", F.lit("{|r|}x"))).alias("text"))
 
 
-@query("txt_files", "SELECT doc_id, 'a [[b]] ' || text AS text FROM documents WHERE text NOT LIKE '%[[%' AND text NOT LIKE '%]]%'")
+@query("txt_files", "SELECT doc_id, 'a [[b]] ' || text AS text FROM documents")
 def txt_files(spark, d):
-    rows = table(spark, d, "documents").where(~F.contains("text", F.lit("[[")) & ~F.contains("text", F.lit("]]")))
-    return rows.select("doc_id", arrow_text.without_files(F.concat(F.lit("[[File:x.png|a [[link]] b]]a [[b]] "), "text", F.lit("[[File:open"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", arrow_text.without_files(F.concat(F.lit("[[File:x.png|a [[link]] b]]a [[b]] "), "text", F.lit("[[File:open"))).alias("text"))
 
 
-@query("txt_ref_strip", "SELECT doc_id, 'A.' || text || ' D.' AS text, '2,' || (2 + length(text)) AS places FROM documents WHERE text NOT LIKE '%<%'")
+@query("txt_ref_strip", "SELECT doc_id, 'A.' || text || ' D.' AS text, '2,' || (2 + length(text)) AS places FROM documents")
 def txt_ref_strip(spark, d):
-    rows = table(spark, d, "documents").where(~F.contains("text", F.lit("<")))
     raw = F.concat(F.lit('A.<ref name="x">k</ref>'), "text", F.lit("<ref>q</ref> D."))
-    return rows.select("doc_id", T.without_refs(raw).alias("text"), F.array_join(T.ref_positions(raw).cast("array<string>"), ",").alias("places"))
+    return table(spark, d, "documents").select("doc_id", T.without_refs(raw).alias("text"), F.array_join(T.ref_positions(raw).cast("array<string>"), ",").alias("places"))
 
 
-@query("txt_links", "SELECT doc_id, 'see name and page' || text AS text FROM documents WHERE text NOT LIKE '%[%' AND text NOT LIKE '%''%'")
+@query("txt_links", "SELECT doc_id, 'see name and page' || text AS text FROM documents")
 def txt_links(spark, d):
-    rows = table(spark, d, "documents").where(~F.contains("text", F.lit("[")) & ~F.contains("text", F.lit("'")))
-    return rows.select("doc_id", T.link_text(T.remove_emphasis(F.concat(F.lit("'''see''' [[a|b| name ]] ''and'' [[page]]"), "text"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", T.link_text(T.remove_emphasis(F.concat(F.lit("'''see''' [[a|b| name ]] ''and'' [[page]]"), "text"))).alias("text"))
 
 
 @query("txt_sections", "SELECT doc_id, 'Head ' || doc_id AS heading, 'rest' AS rest FROM documents")
@@ -653,11 +647,13 @@ def txt_sections(spark, d):
     return table(spark, d, "documents").select("doc_id", T.heading(block).alias("heading"), T.after_heading(block).alias("rest"))
 
 
-@query("txt_paragraphs", r"""SELECT doc_id, 0 AS paragraph_id, 'H' AS header, regexp_replace(trim(left(text, 200)), '[ \t]+', ' ', 'g') AS text_raw FROM documents WHERE length(trim(left(text, 200))) >= 60 AND NOT regexp_matches(text, '[<{}\[=|*#''+]') AND NOT regexp_matches(left(text, 200), '\n\n|^\s|\s$|  ')""")
+@query(
+    "txt_paragraphs",
+    r"""SELECT doc_id, 0 AS paragraph_id, 'H' AS header, p AS text_raw FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g'), chr(10) || ' ') AS p FROM documents)
+    WHERE length(p) >= 50 AND NOT regexp_matches(p, '^[*#|<]')""",
+)
 def txt_paragraphs(spark, d):
-    head = F.substring("text", 1, 200)
-    plain = (F.char_length(T.strip(head)) >= 60) & ~F.col("text").rlike(r"[<{}\[=|*#'+]") & ~head.rlike("\n\n|^\\s|\\s$|  ")
-    pages = table(spark, d, "documents").where(plain).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("{{box}}\n== H ==\n"), head, F.lit("\n\n* item\n\nshort")).alias("raw_text"))
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("{{box}}\n== H ==\n"), "text", F.lit("\n\n* item\n\nshort")).alias("raw_text"))
     return sentences.page_paragraphs(pages).select(F.col("page_id").alias("doc_id"), "paragraph_id", "header", "text_raw")
 
 
@@ -682,10 +678,11 @@ def sent_citation_attr(spark, d):
 
 @query("ngram_ppl", f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower({_TIDY}), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
       z AS (SELECT sum(n) AS total, count(*) AS types FROM c)
-    SELECT doc_id, round(exp(avg(-ln((n + 1) / (total + types + 1)))), 4) AS perplexity_score FROM t JOIN c USING (w), z GROUP BY doc_id""")
+    SELECT doc_id, coalesce(round(p, 4), -1) AS perplexity_score FROM documents LEFT JOIN (SELECT doc_id, exp(avg(-ln((n + 1) / (total + types + 1)))) AS p FROM t JOIN c USING (w), z GROUP BY doc_id) USING (doc_id)""")
 def ngram_ppl(spark, d):
     out = scoring.unigram_perplexity(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return out.where(numeric.finite(F.col("perplexity_score"))).select("doc_id", F.round("perplexity_score", 4).alias("perplexity_score"))
+    score = F.col("perplexity_score")
+    return out.select("doc_id", F.when(numeric.finite(score), F.round(score, 4)).otherwise(-1.0).alias("perplexity_score"))
 
 
 # --- prompts -----------------------------------------------------------------
