@@ -3,7 +3,7 @@
 Each document is encoded whole and ended; only documents longer than a sequence
 are cut, the first piece taking the remainder. Full pieces fill a sequence by
 themselves. The others are dealt by hash to groups and packed best-fit
-decreasing. Dual feasible functions give a lower bound of each group's bins: a
+decreasing, and where that misses its bound by filling bins exactly. Dual feasible functions give a lower bound of each group's bins: a
 group that meets its bound is certified and final. Groups with a gap exchange
 documents: the pieces in their unfilled bins are dealt to new groups and packed
 again, and a new packing is kept only if it has fewer bins.
@@ -29,8 +29,9 @@ from .encoding import default_tokenizer, encoder, small_batches
 
 CAPACITY = 1024
 #: Pieces of a group, on average: one task's work, whatever the size of the input.
-GROUP_PIECES = 20_000
+GROUP_PIECES = 100_000
 ROUNDS = 3
+_TRIED = 12  # sizes that exact filling tries as the first of three
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -87,6 +88,60 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
+def exact_fill(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece: each bin begins with the largest piece left and is filled up exactly where one,
+    two or three others can; else the largest that fits is added.
+
+    Sizes left are a bit mask, and a mirrored one, so that two sizes with a given sum are found by a shift and an and.
+    """
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    left: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in np.argsort(lengths, kind="stable").tolist():
+        left[int(lengths[i])].append(i)
+    sizes = sum(1 << s for s in range(1, capacity + 1) if left[s])
+    mirrored = sum(1 << (capacity - s) for s in range(1, capacity + 1) if left[s])
+
+    def enough(chosen: list[int]) -> bool:
+        return all(len(left[s]) >= chosen.count(s) for s in set(chosen))
+
+    def completed(room: int, before: list[int]) -> list[int]:
+        """before and two sizes that fill the room, the larger one as large as can be; or nothing."""
+        both = sizes & mirrored >> (capacity - room) & ((1 << max(room, 1)) - 2)
+        while both:
+            a = both.bit_length() - 1
+            chosen = [*before, a, room - a]
+            if enough(chosen):
+                return chosen
+            both ^= 1 << a
+        return []
+
+    opened = 0
+    while sizes:
+        room, chosen = capacity, [sizes.bit_length() - 1]
+        while chosen:
+            for s in chosen:
+                i = left[s].pop()
+                bins[i], offsets[i] = opened, capacity - room
+                room -= s
+                if not left[s]:
+                    sizes ^= 1 << s
+                    mirrored ^= 1 << (capacity - s)
+            fits = sizes & ((1 << (room + 1)) - 1)
+            chosen = []
+            if fits:
+                largest = fits.bit_length() - 1
+                chosen = [room] if largest == room else completed(room, [])
+                tried = 0
+                while not chosen and fits.bit_length() > 1 and tried < _TRIED:
+                    b = fits.bit_length() - 1
+                    chosen = completed(room - b, [b])
+                    fits ^= 1 << b
+                    tried += 1
+                chosen = chosen or [largest]
+        opened += 1
+    return bins, offsets
+
+
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """Least number of bins by dual feasible functions: the identity, the threshold
     family (small items dropped, large ones counted whole) and the rounding family."""
@@ -117,13 +172,18 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "uid", "doc_id", "piece", "ids_crc32"], ascending=False, kind="stable")
     lengths = pdf["length"].to_numpy()
     bins, offsets = best_fit_decreasing(lengths)
+    least = lower_bound(lengths)
+    if bins.max() + 1 > least:
+        other = exact_fill(lengths)
+        if other[0].max() < bins.max():
+            bins, offsets = other
     before = pdf[["old_grp", "bin"]].drop_duplicates() if (pdf["bin"] >= 0).all() else None
     count = int(bins.max()) + 1
     if before is not None and len(before) <= count:
         # the old bins stay, under numbers of this group
         bins = pd.factorize(pd.MultiIndex.from_frame(pdf[["old_grp", "bin"]]))[0].astype(np.int64)
         offsets, count = pdf["offset"].to_numpy(), len(before)
-    certified = count <= lower_bound(lengths)
+    certified = count <= least
     fill = np.bincount(bins, weights=lengths, minlength=count)
     gap = np.where(certified | (fill[bins] >= CAPACITY), 0, 1)
     return pdf.assign(bin=bins, offset=offsets, gap=gap)[[c.split()[0] for c in STATE.split(", ")]]

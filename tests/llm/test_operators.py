@@ -145,8 +145,13 @@ def test_op4_exchange_lowers_the_count_and_bounds_hold(spark):
     assert packing.lower_bound(lengths) <= more <= one
     for n in (1, 5, 40):
         some = rng.integers(1, 1025, n)
-        bins, _ = packing.best_fit_decreasing(some)
-        assert packing.lower_bound(some) <= bins.max() + 1
+        for pack in (packing.best_fit_decreasing, packing.exact_fill):
+            bins, offsets = pack(some)
+            assert packing.lower_bound(some) <= bins.max() + 1
+            for b in range(bins.max() + 1):
+                mine = np.argsort(offsets[bins == b])
+                ends = np.cumsum(some[bins == b][mine])
+                assert ends[-1] <= 1024 and offsets[bins == b][mine].tolist() == [0, *ends[:-1].tolist()]
     assert packing.lower_bound(np.array([600] * 5)) == 5
     assert packing.pack_documents(empty(spark)).count() == 0
 
