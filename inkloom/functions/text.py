@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The 29 code points that Unicode-aware white-space matching covers, what a word character is, and invisible characters.
-_SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-WS = "[" + "".join(f"\\x{{{c:X}}}" for c in _SPACES) + "]"
-NOT_WS = WS.replace("[", "[^", 1)
+_SPACES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+WS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _SPACES) + "]"
+_WIDE = "".join(chr(c) for a, b in _SPACES if a > 0x20 for c in range(a, b + 1))
 INVISIBLE = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0xFEFF, 0x2060)))
 WORD = r"[\p{L}\p{N}_]"
 _REF_END = rf"(?!{WORD})"
@@ -37,8 +37,9 @@ def word_tokens(column: Column | str) -> Column:
 
 
 def word_count(column: Column | str) -> Column:
-    """White-space-separated words."""
-    return F.regexp_count(_c(column), F.lit(f"{NOT_WS}+"))
+    """White-space-separated words. Wide spaces become plain ones first: a class of ASCII alone is matched faster."""
+    plain = F.translate(_c(column), _WIDE, " " * len(_WIDE))
+    return F.regexp_count(plain, F.lit(r"[^\x09-\x0D\x1C-\x20]+"))
 
 
 def citation_count(column: Column | str) -> Column:
