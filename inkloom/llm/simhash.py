@@ -9,11 +9,14 @@ blocks are compared by numpy exclusive-or and bit counts, and each gives only
 a spanning forest of its links, never the pairs.
 
 near_duplicates() links by the fingerprints alone (the query's contract), or, where
-a similarity is asked for, finds candidates in a wider radius in the same way
-and verifies them: each distinct fingerprint carries a one-permutation MinHash
-sketch of its five-word shingles, and candidates link if the sketches agree.
-Only fingerprints with a neighbour take part in that second comparison, and in a
-group only pairs that nothing links yet are verified.
+a similarity is asked for, by the Jaccard similarity of the sets of five-word
+shingles. Texts with equal sets are one row then, and every link is decided on
+the sets. Candidates come from two searches. The first is by fingerprints in a
+wider radius, compared in the same way, where sketches of the sets choose a
+spanning forest; it only spares work, since it ties up large groups in few
+links. The second is complete: with all sets in one order, two sets that are
+similar enough share a shingle among the first few of both (prefix filter), and
+all such pairs that the first search left apart are verified.
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other;
 texts of one or two words have one shingle; repeated rows and ids are kept, each
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, text_or_empty
+from .common import BROADCAST_ROWS, connected_components, discard, materialize, text_or_empty
 from .encoding import small_batches
 
 RADIUS = 3
@@ -37,11 +40,15 @@ SEED = 42
 #: Fingerprints of a block; a pair of blocks is one task's unit of work.
 BLOCK = 8192
 _STEP = 256  # rows of a block that are compared at once
-#: For verified links: five-word shingles with a Jaccard similarity of 0.8 or more differ in at most this many bits of
-#: the fingerprint (measured: 11 of 64 at the most), at which few unrelated texts are candidates.
+#: For verified links: the radius of the first search, at which few unrelated texts are candidates. Pairs beyond it are
+#: found by the second.
 WIDE_RADIUS = 11
 SKETCH_SHINGLE = 5
 SKETCH_BINS = 256
+#: About so many documents are read to see which shingles are common, and so many shingles are listed at most. The list
+#: only puts common shingles last in the order of the sets; which links are found does not depend on it.
+COMMON_DOCS = 20_000
+COMMON_SHINGLES = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -75,17 +82,29 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(bits), bitorder="little").view("<i8")[0])
 
 
-def sketch(text: str | None, width: int = SKETCH_SHINGLE, bins: int = SKETCH_BINS) -> bytes:
-    """One-permutation MinHash: the least hash of each bin, cut to 16 bits; 0 is an empty bin."""
+def sketch_of(hashes: np.ndarray, bins: int = SKETCH_BINS) -> bytes:
+    """One-permutation MinHash: the least hash of each bin, cut to 16 bits; 0 is an empty bin. hashes are in order."""
     out = np.zeros(bins, "<u2")
-    words = words_of(text)
-    if words:
-        h = np.sort(shingle_hashes(words, width))[::-1]
-        # of equal bins the last assignment stays, which is the least hash
-        out[(h % bins).astype(np.int64)] = (h // bins % 65535 + 1).astype("<u2")
+    h = hashes[::-1]
+    # of equal bins the last assignment stays, which is the least hash
+    out[(h % bins).astype(np.int64)] = (h // bins % 65535 + 1).astype("<u2")
     return out.tobytes()
 
 
+def shingle_set(text: str | None, width: int = SKETCH_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes in order; none for a text without words."""
+    words = words_of(text)
+    return np.unique(shingle_hashes(words, width)) if words else np.zeros(0, "<u8")
+
+
+def rarest_first(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """hashes, those in common (sorted) last, by count."""
+    if not len(common) or not len(hashes):
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")]
+
+
 def agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of a sketch with each of others."""
     both = (one[None, :] != 0) | (others != 0)
@@ -93,19 +112,82 @@ def agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return equal.sum(axis=1) / np.maximum(both.sum(axis=1), 1)
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, sketched: bool = False) -> DataFrame:
-    """doc_id, fp of each document, and its sketch if asked for."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, fp of each document."""
 
     def hashed(batches):
         for batch in batches:
             for part, texts in small_batches(batch, most_bytes=8_000_000):
                 columns = [part.column("doc_id"), pa.array([fingerprint(t, width) for t in texts], pa.int64())]
-                if sketched:
-                    columns.append(pa.array([sketch(t) for t in texts], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sketch"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp"])
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (sorted) that several of a sample of documents have, and how many."""
+
+    def hashed(batches):
+        for batch in batches:
+            for _, texts in small_batches(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in texts]).view(np.int64))], ["token"])
+
+    every = max(1, docs.count() // COMMON_DOCS)
+    tokens = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(text_or_empty().alias("text")).mapInArrow(hashed, "token long")
+    most = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON_SHINGLES).toArrow()
+    common, counts = most.column("token").to_numpy().view(np.uint64), most.column("n").to_numpy()
+    order = np.argsort(common)
+    return common[order], counts[order]
+
+
+def _row():
+    """What names a document (doc_id, text) when its text is read again."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
+def signatures(docs: DataFrame, similarity: float, width: int = SHINGLE) -> DataFrame:
+    """row, doc_id, fp, and of the five-word shingles: a hash of the set (key), a sketch, the count n and the first of the set that sharing() needs."""
+    listed = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+
+    def hashed(batches):
+        common, counts = listed.value
+        for batch in batches:
+            for part, texts in small_batches(batch):
+                sets = [shingle_set(t) for t in texts]
+                sizes = np.array([len(h) for h in sets], np.int32)
+                some = np.where(sizes > 0, sizes - np.ceil(sizes * similarity - 1e-9).astype(np.int32) + 1, 0)
+                first = np.concatenate([rarest_first(h, common, counts)[:k] for h, k in zip(sets, some.tolist())]).view(np.int64)
+                columns = [part.column("row"), part.column("doc_id"), pa.array([fingerprint(t, width) for t in texts], pa.int64()), _keys(sets), pa.array([sketch_of(h) for h in sets], pa.binary()), pa.array(sizes)]
+                ends = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(first))], ["row", "doc_id", "fp", "key", "sketch", "n", "first"])
+
+    schema = "row long, doc_id long, fp long, key long, sketch binary, n int, first array<long>"
+    return docs.select(_row(), "doc_id", text_or_empty().alias("text")).mapInArrow(hashed, schema)
+
+
+def _keys(sets: list[np.ndarray]) -> pa.Array:
+    import xxhash
 
-    schema = "doc_id long, fp long" + (", sketch binary" if sketched else "")
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(hashed, schema)
+    return pa.array(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64))
+
+
+def _sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """key, grams (the whole set) of the documents that rows (row) names, each key once."""
+
+    def hashed(batches):
+        for batch in batches:
+            for _, texts in small_batches(batch):
+                sets = [shingle_set(t) for t in texts]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([_keys(sets), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["key", "grams"])
+
+    texts = _narrowed(docs.select(_row(), text_or_empty().alias("text")), rows.select("row"), "row").select("text")
+    return texts.mapInArrow(hashed, "key long, grams array<long>").dropDuplicates(["key"])
+
+
+def _narrowed(left: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """left join small, a stored table where on is unique; broadcast up to a bound."""
+    return left.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on)
 
 
 class Forest:
@@ -135,9 +217,12 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     return points[moved], points[forest.label[moved]]
 
 
-def verified(fps: np.ndarray, sketches: np.ndarray, split: int | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """As linked(), for links that are within radius and whose sketches agree; fps[:split] and fps[split:] are the blocks."""
-    forest = Forest(len(fps))
+def alike(fps: np.ndarray, sketches: np.ndarray, split: int | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row numbers) between rows that are within radius and whose sketches agree, unless earlier ones tie both ends.
+
+    fps[:split] and fps[split:] are the blocks. Unlike those of linked(), the links are pairs that were compared.
+    """
+    forest, us, vs = Forest(len(fps)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     ends, shift = (len(fps), 0) if split is None else (split, split)
     columns = fps[shift:]
     for at in range(0, ends, _STEP):
@@ -150,8 +235,9 @@ def verified(fps: np.ndarray, sketches: np.ndarray, split: int | None, radius: i
                 good = others[agreement(sketches[row], sketches[others]) >= similarity]
                 if len(good):
                     forest.merge(row, good)
-    moved = np.flatnonzero(forest.label != np.arange(len(fps)))
-    return fps[moved], fps[forest.label[moved]]
+                    us.append(np.full(len(good), row))
+                    vs.append(good)
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def _block_pairs(distinct: DataFrame, radius: int, block: int) -> DataFrame | None:
@@ -168,7 +254,7 @@ def _block_pairs(distinct: DataFrame, radius: int, block: int) -> DataFrame | No
         return None
     pairs = [(a, b, n, [(c, d, m) for c, d, m in tiles if abs(a - c) + abs(b - d) <= radius]) for a, b, n in tiles]
     table = spark.createDataFrame(pairs, "a int, b int, blocks int, near array<struct<c:int,d:int,blocks:int>>")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("key" if "key" in distinct.columns else "fp"), F.col("blocks")).cast("int")
     code = lambda a, b, n: (F.col(a) * 128 + F.col(b)).cast("long") * (1 << 20) + n
     names = distinct.columns
     rows = tiled.join(F.broadcast(table), ["a", "b"]).select(*names, code("a", "b", mine).alias("me"), F.explode("near").alias("to"))
@@ -218,10 +304,12 @@ def with_neighbours(distinct: DataFrame, radius: int, block: int = BLOCK) -> Dat
     return pairs.groupBy("one", "two").applyInArrow(flag, "fp long").distinct()
 
 
-def verified_links(distinct: DataFrame, similarity: float, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) of distinct fingerprints (a stored table with sketch) whose texts have the similarity."""
-    flagged = materialize(with_neighbours(distinct, radius, block), "neighbours")
-    some = materialize(distinct.select("fp", "sketch").join(flagged, "fp"), "sketches")
+def likely_links(signed: DataFrame, distinct: DataFrame, similarity: float, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
+    """Pairs (u, v) of keys of distinct (a stored table) whose fingerprints are within radius and whose sketches have the similarity."""
+    by_fp = materialize(distinct.groupBy("fp").agg((F.count("*") > 1).alias("several")), "by_fp")
+    flagged = with_neighbours(by_fp, radius, block).union(by_fp.where("several").select("fp")).distinct()
+    near = materialize(distinct.select("fp", "key", "row").join(materialize(flagged, "neighbours"), "fp"), "near")
+    some = materialize(near.join(signed.select("row", "sketch"), "row").dropDuplicates(["row"]).select("fp", "key", "sketch"), "sketches")
     pairs = _block_pairs(some, radius, block)
     if pairs is None:
         return distinct.sparkSession.createDataFrame([], "u long, v long")
@@ -230,24 +318,76 @@ def verified_links(distinct: DataFrame, similarity: float, radius: int = WIDE_RA
         side, fps, inner = _sides(table)
         order = np.argsort(side, kind="stable")
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(fps), -1)
-        u, v = verified(fps[order], sketches[order], None if inner else int((side == 0).sum()), radius, similarity)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    return pairs.groupBy("one", "two").applyInArrow(compare, "u long, v long")
+        u, v = alike(fps[order], sketches[order], None if inner else int((side == 0).sum()), radius, similarity)
+        keys = table.column("key").to_numpy()[order]
+        return pa.table({"u": keys[u], "v": keys[v]})
+
+    found = pairs.groupBy("one", "two").applyInArrow(compare, "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def sharing(signed: DataFrame, distinct: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of keys in different classes (id, component) that may have the similarity: none that has it is left out.
+
+    Sets of m and n members with the similarity s have ceil(s * n) in common at
+    least, so that one of the first n - ceil(s * n) + 1 of either is shared. Where
+    a shingle is the i-th and j-th of two sets (from 0), at most
+    min(i, j) + 1 + min(m - i, n - j) - 1 are in common.
+    """
+    ours = distinct.select("row", "key").join(classes.withColumnRenamed("id", "key"), "key", "left").select("row", "key", F.coalesce("component", "key").alias("class"))
+    heads = signed.select("row", "n", "first").join(ours, "row").dropDuplicates(["row"])
+    heads = materialize(heads.select("key", "class", "n", F.posexplode("first").alias("at", "token")), "heads")
+    across = heads.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
+    live = materialize(_narrowed(heads, materialize(across, "across"), "token"), "shared")
+    discard(heads)
+    one, two = (live.select("token", *(F.col(c).alias(f"{c}_{i}") for c in ("key", "class", "n", "at"))) for i in (1, 2))
+    needed = (F.col("n_1") + F.col("n_2")) * (similarity / (1 + similarity)) - 1e-6
+    rest = F.least(F.col("n_1") - F.col("at_1"), F.col("n_2") - F.col("at_2")) - 1
+    met = one.join(two, "token").where((F.col("key_1") < F.col("key_2")) & (F.col("class_1") != F.col("class_2")) & (F.least("at_1", "at_2") + 1 + rest >= needed))
+    # what is in common comes up to the last shared one, or after it in both sets
+    counted = met.groupBy(F.col("key_1").alias("u"), F.col("key_2").alias("v")).agg(F.count("*").alias("seen"), F.min(rest).alias("rest"), F.first(needed).alias("needed"))
+    return counted.where("seen + rest >= needed").select("u", "v")
+
+
+def exactly(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v; a stored table) of keys whose sets have the similarity."""
+    keys = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+    sets = materialize(_sets(docs, materialize(distinct.select("row", "key").join(keys, "key"), "rows")), "sets")
+    one, two = (sets.select(F.col("key").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "uv")
+    found = pairs.join(one, "u").join(two, "v").withColumn("both", F.size(F.array_intersect("grams_u", "grams_v")))
+    found = materialize(found.where(F.col("both") / (F.size("grams_u") + F.size("grams_v") - F.col("both")) >= similarity).select("u", "v"), "links")
+    discard(sets)
+    return found
+
+
+def similar_documents(docs: DataFrame, similarity: float, width: int = SHINGLE, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
+    """doc_id, fp, component_id: the classes of all links of at least the similarity."""
+    signed = materialize(signatures(docs, similarity, width), "signatures")
+    members = signed.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("_"), F.min("fp").alias("fp"), F.min("doc_id").alias("doc_id"))
+    distinct = materialize(members.select("key", "fp", "doc_id", "_.row"), "distinct")
+    found = exactly(materialize(likely_links(signed, distinct, similarity, radius, block), "likely"), docs, distinct, similarity)
+    first = connected_components(found)
+    more = exactly(materialize(sharing(signed, distinct, first, similarity), "sharing"), docs, distinct, similarity)
+    return _classes(signed, distinct, connected_components(found.union(more)), "key")
+
+
+def _classes(marked: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """doc_id, fp and the least doc_id of its class for each row of marked; key names the column of distinct that roots have as id."""
+    rooted = distinct.select(key, "doc_id").join(roots.withColumnRenamed("id", key), key, "left").select(key, "doc_id", F.coalesce("component", key).alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = materialize(rooted.join(least, "root").select(key, "component_id"), "classes")
+    return marked.select("doc_id", "fp", *({key} - {"fp"})).join(classes, key).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id of each document; with a similarity, links are verified."""
-    marked = materialize(fingerprints(docs, width, similarity is not None), "fingerprints")
-    first = [F.min("doc_id").alias("doc_id")] + ([F.min("sketch").alias("sketch")] if similarity is not None else [])
-    distinct = materialize(marked.groupBy("fp").agg(*first), "distinct")
-    found = links(distinct, radius, block) if similarity is None else verified_links(distinct, similarity, max(radius, WIDE_RADIUS), block)
-    roots = connected_components(materialize(found, "links"))
-    rooted = distinct.select("fp", "doc_id").join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = materialize(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    text = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marked.select("doc_id", "fp").join(classes, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+    if similarity is not None:
+        found = similar_documents(docs, similarity, width, max(radius, WIDE_RADIUS), block)
+    else:
+        marked = materialize(fingerprints(docs, width), "fingerprints")
+        distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
+        found = _classes(marked, distinct, connected_components(materialize(links(distinct, radius, block), "links")), "fp")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
