@@ -53,6 +53,16 @@ def test_links_beyond_the_radius(spark):
     assert found(spark, texts) == want
 
 
+def test_the_sets_decide(spark):
+    texts = []
+    for seed in range(60):  # at 0.80, 0.79 and 0.78 exactly
+        w = words(104, 9000 + seed)
+        texts += [" ".join(w[: 4 + 80 - seed % 3]), " ".join(w)]
+    want = classes(texts)
+    assert [a == b for a, b in zip(want[::2], want[1::2])] == [seed % 3 == 0 for seed in range(60)]
+    assert found(spark, texts) == want
+
+
 def test_mixed_edits_against_brute_force(spark):
     rng = random.Random(3)
     pool, texts = words(300, 4), []
