@@ -63,6 +63,15 @@ def test_the_sets_decide(spark):
     assert found(spark, texts) == want
 
 
+def test_equal_fingerprints_are_not_equal_texts(spark):
+    line = " ".join([" ".join(words(9, 1))] * 80)
+    texts = [f"{line} " + " ".join(words(40, 20 + seed)) for seed in range(6)] + [None, " \n", f"{line} {line}", line]
+    assert len({simhash.fingerprint(t) for t in texts[:6]}) == 1
+    want = classes(texts)
+    assert len(set(want)) == 8
+    assert found(spark, texts) == want
+
+
 def test_mixed_edits_against_brute_force(spark):
     rng = random.Random(3)
     pool, texts = words(300, 4), []
