@@ -12,7 +12,7 @@ from .media import op5_iso_media
 from .mixing import OP2_SQL, op2_source_mixing
 from .multi_index import OP7_SQL, op7_inverted_multi_index
 from .packing import op4_best_fit_packing
-from .pii import OP3_SQL, op3_weak_supervision_pii
+from .pii import BASE_SQL, op3_weak_supervision_pii, pii_base_spans
 from .simhash import op10_simhash_tiles
 from .token_store import op1_token_orc
 from .toxicity import op8_toxicity_cnn
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_orc": op1_token_orc,
         "op2_source_mixing": op2_source_mixing,
         "op3_weak_supervision_pii": op3_weak_supervision_pii,
+        "pii_base_spans": pii_base_spans,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_iso_media": op5_iso_media,
         "op6_language_bitmasks": op6_language_bitmasks,
@@ -41,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op3_weak_supervision_pii": OP3_SQL, "op7_inverted_multi_index": OP7_SQL, "op9_repeated_strings": OP9_SQL}
+    return {"op2_source_mixing": OP2_SQL, "pii_base_spans": BASE_SQL, "op7_inverted_multi_index": OP7_SQL, "op9_repeated_strings": OP9_SQL}
