@@ -4,6 +4,7 @@ checked broadcast, and connected components."""
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -25,13 +26,31 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='inkloom-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_root(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix=f'inkloom-{application}-')}"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application's scratch tables are."""
+    return f"{scratch_root(spark)}/inkloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/inkloom-{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that still read them are lost."""
+    _delete(spark, scratch_folder(spark))
 
 
 @contextlib.contextmanager
@@ -55,13 +74,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table behind materialize()'s result once nothing reads it any more."""
-    path = getattr(df, "_inkloom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind materialize()'s results once nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_inkloom_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:

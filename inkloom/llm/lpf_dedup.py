@@ -6,19 +6,25 @@ with the least hash of its GRAM-byte strings, and equal windows have equal
 labels. Runs of windows with one label and place are rows; rows whose label is
 unique in the corpus can hold no repeat and end there. Rows equal as a whole
 are settled by counting. The others send their bytes to the task of their
-label, where suffix order (prefix doubling on numpy ranks) and the previous and
-next smaller positions in it give the longest previous and next factors: a
-window is repeated if one of them reaches WINDOW. Labels with very many
+label, where suffix order (prefix doubling on numpy ranks) gives longest factors:
+of the suffixes that stand earlier in the text, those at the previous and next
+smaller positions in suffix order have most in common with a suffix, and the
+longer of the two common prefixes is its longest previous factor; the longest
+next factor is the same seen from the end. A window is repeated if one of them
+reaches WINDOW (longer ones are not told apart). Labels with very many
 different rows (a passage in a third of all documents) are settled by counting
-their windows instead, which is as exact and spreads over all tasks.
+128-bit digests of their windows instead, which finds the same windows and
+spreads over all tasks.
 
 Every occurrence of a repeated string is removed, or, with keep_first, every one
 but the first in the order of ids and places: there a window goes if its longest
-previous factor reaches WINDOW. Rows with the same id and text are one place.
+previous factor reaches WINDOW. Rows with the same id and text are one place,
+and are told apart from others by id and 64 bits (without an id: 126 bits) of
+their text. Runs are equal if 128 bits of two unlike hashes are.
 
 Defined cases: a null text is empty; texts shorter than WINDOW stay; overlapping
 repeats within one document count; repeated rows are copies of each other; null
-ids are kept; an empty table gives no rows; other columns are ignored.
+ids are kept, and come first, in the order of a hash; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 from .encoding import small_batches
 
 WINDOW = 200
@@ -42,22 +48,23 @@ _PACKED = 7  # bytes of the first ranks: 257^7 fits into 63 bits
 _BATCH = 2 << 20  # bytes whose suffixes are ordered at once
 
 _RNG = np.random.default_rng(20240229)
-_BYTE = [_RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1) for _ in range(2)]
-_BASE = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_SEED = 0x5851F42D4C957F2D
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd base modulo 2^64 and their inverses, kept for longer texts."""
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
+    if not _POWERS or len(_POWERS[0]) < n:
         size = 1 << max(12, (n - 1).bit_length())
         pair = []
-        for base in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
             pair.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS[which] = tuple(pair)
-    return _POWERS[which]
+        _POWERS[:] = pair
+    return _POWERS
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -66,16 +73,16 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sums(data: np.ndarray, which: int = 0) -> np.ndarray:
-    powers, _ = _powers(which, len(data) + 1)
+def _sums(data: np.ndarray) -> np.ndarray:
+    powers, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[which][data] * powers[: len(data)], out=out[1:])
+    np.cumsum(_BYTE[data] * powers[: len(data)], out=out[1:])
     return out
 
 
-def _spans(sums: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+def _spans(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of data[begin:end], alike wherever the bytes stand."""
-    _, inverse = _powers(which, len(sums))
+    _, inverse = _powers(len(sums))
     return _mixed((sums[end] - sums[begin]) * inverse[begin])
 
 
@@ -89,12 +96,14 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def labelled_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(label, hash of the run's bytes, first window, windows) of the runs of one text.
+    """(label, digest of the run's bytes, first window, windows) of the runs of one text.
 
     A run ends where the label changes or where its leftmost least string falls
     out of the window, so that the windows of a run are all different.
     """
-    parts = []
+    import xxhash
+
+    digest, parts = xxhash.xxh3_64_intdigest, []
     for at in range(0, len(data) - WINDOW + 1, _CHUNK):
         piece = data[at : at + _CHUNK + WINDOW - 1]
         sums = _sums(piece)
@@ -103,17 +112,21 @@ def labelled_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         least = window_minima(h, WINDOW - GRAM + 1)
         begin = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1])]))
         count = np.diff(np.append(begin, len(least)))
-        whole = _spans(sums, begin, begin + count - 1 + WINDOW) + count.astype(np.uint64)
+        view = piece.tobytes()
+        whole = np.array([digest(view[i:j], _SEED) for i, j in zip(begin.tolist(), (begin + count - 1 + WINDOW).tolist())], np.uint64)
         parts.append((least[begin], whole, begin + at, count))
     return tuple(np.concatenate(p) for p in zip(*parts)) if parts else tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key of the row that is never null: rows with one key are copies, but for a chance of 2^-32 among rows of one id."""
-    return docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("k"), F.hash(text_or_empty()).alias("th"))
+    """doc_id, text and a key of the row (k, th), equal for copies alone; neither part is ever null."""
+    text, missing = text_or_empty(), F.col("doc_id").isNull()
+    # without an id, 62 bits of the text stand for one below all others
+    stand_in = F.lit(-(1 << 63)) + F.xxhash64(F.lit("id"), text).bitwiseAND(F.lit((1 << 62) - 1))
+    return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("k"), F.xxhash64(text, missing).alias("th"))
 
 
-RUNS = "label long, whole long, k long, th int, start int, windows int"
+RUNS = "label long, whole long, k long, th long, start int, windows int"
 
 
 def runs(rows: DataFrame) -> DataFrame:
@@ -130,10 +143,10 @@ def runs(rows: DataFrame) -> DataFrame:
     return rows.select("text", "k", "th").mapInArrow(scan, RUNS)
 
 
-def suffix_classes(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """Ranks of the suffixes of text by their first depth bytes, equal ones alike, by prefix doubling.
+def suffix_ranks(text: np.ndarray, depth: int = WINDOW) -> list[tuple[int, np.ndarray]]:
+    """(width, ranks of the suffixes of text by their first width bytes, equal ones alike), widths doubling up to depth.
 
-    A suffix that ends before depth ranks below its extensions.
+    A suffix that ends before a width ranks below its extensions.
     """
     n = len(text)
     width = min(_PACKED, depth)
@@ -141,38 +154,78 @@ def suffix_classes(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(width):
         key = key * 257 + padded[i : i + n]
+    out = []
     while True:
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])[:n] + 1
+        out.append((width, rank.astype(np.int32)))
         if width >= depth:
-            break
+            return out
         step = min(width, depth - width)
         tail = np.zeros(n, np.int64)
         tail[: max(0, n - step)] = rank[step:]
         key = rank * (n + 2) + tail
         width += step
-    return rank
 
 
-def long_factors(text: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(previous, next): whether the longest previous (next) factor of the suffix at each start reaches depth.
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the last earlier one with a smaller value, or -1.
 
-    Only suffixes at starts count as matches. In suffix order with ties by
-    position, the previous smaller position of a suffix that is not the first of
-    its class is its predecessor, and the next one that of its successor, so
-    that the factor reaches depth just if that neighbour is in its class.
+    All places jump at once: what lies between a place and where it points is
+    larger than it, and stays so if it takes over where that one points.
     """
-    classes = suffix_classes(text, depth)[starts]
-    order = np.lexsort((starts, classes))
-    same = np.concatenate([[False], np.diff(classes[order]) == 0, [False]])
-    before, after = np.empty(len(starts), bool), np.empty(len(starts), bool)
-    before[order], after[order] = same[:-1], same[1:]
-    return before, after
+    to = np.arange(len(values)) - 1
+    open_ = np.flatnonzero(to >= 0)
+    while True:
+        open_ = open_[values[to[open_]] >= values[open_]]
+        if not len(open_):
+            return to
+        to[open_] = to[to[open_]]
+        open_ = open_[to[open_] >= 0]
+
+
+def common_prefix(ranks: list[tuple[int, np.ndarray]], one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at two places have in common, up to the last width: where it is less, from the ranks of shorter
+    widths it is a multiple of the first, rounded down."""
+    depth, last = ranks[-1]
+    out = np.where(last[one] == last[other], depth, 0)
+    short = np.flatnonzero(out == 0)
+    for width, rank in ranks[-2::-1]:
+        a, b = one[short] + out[short], other[short] + out[short]
+        inside = np.maximum(a, b) < len(rank)
+        same = np.zeros(len(short), bool)
+        same[inside] = rank[a[inside]] == rank[b[inside]]
+        out[short[same]] += width
+    return out
 
 
-CONTEXTS = "label long, k long, th int, start int, copies long, many boolean, bytes binary"
-SPANS = "k long, th int, begin int, end int"
+def longest_factors(text: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(previous, next): the longest previous (next) factor of the suffix at each start, among the suffixes at starts.
+
+    Lengths are cut at depth, and below it rounded down by common_prefix().
+    starts are in order.
+    """
+    ranks = suffix_ranks(text, depth)
+    order = np.argsort(ranks[-1][1][starts], kind="stable")  # of equal suffixes the earlier place comes first
+    place = starts[order]
+    out = []
+    for sign in (1, -1):
+        length = np.zeros(len(starts), np.int64)
+        for flip in (False, True):  # the previous, and the next smaller (larger) place in suffix order
+            values = (sign * place)[::-1] if flip else sign * place
+            to = previous_smaller(values)
+            some = np.flatnonzero(to >= 0)
+            mine, its = (values[some] * sign), (values[to[some]] * sign)
+            common = common_prefix(ranks, mine, its)
+            at = order[::-1][some] if flip else order[some]
+            length[at] = np.maximum(length[at], common)
+        out.append(length)
+    return out[0], out[1]
+
+
+CONTEXTS = "label long, k long, th long, start int, copies long, many boolean, bytes binary"
+SPANS = "k long, th long, begin int, end int"
 
 
 def _contexts(batches):
@@ -191,7 +244,7 @@ def _contexts(batches):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
     columns = list(zip(*rows)) or [()] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in CONTEXTS.split(", ")])
 
@@ -203,7 +256,7 @@ def _spans_of(k: np.ndarray, th: np.ndarray, at: np.ndarray, hit: np.ndarray, ow
     last = np.append(np.flatnonzero(first)[1:] - 1, len(i) - 1) if len(i) else np.empty(0, int)
     begin, end = at[i[first]], at[i[last]] + WINDOW
     who = owner[i[first]]
-    return pa.RecordBatch.from_arrays([pa.array(k[who], pa.int64()), pa.array(th[who], pa.int32()), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["k", "th", "begin", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(k[who], pa.int64()), pa.array(th[who], pa.int64()), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["k", "th", "begin", "end"])
 
 
 def _settle(rows: list[tuple], keep_first: bool) -> pa.RecordBatch:
@@ -220,8 +273,8 @@ def _settle(rows: list[tuple], keep_first: bool) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(rows)), windows)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     # equal windows have equal labels, so that the labels may be ordered together
-    previous, following = long_factors(text, base[owner] + inner)
-    hit = previous if keep_first else (previous | following) & (copies[owner] == 1)
+    previous, following = longest_factors(text, base[owner] + inner)
+    hit = previous >= WINDOW if keep_first else (np.maximum(previous, following) >= WINDOW) & (copies[owner] == 1)
     return _spans_of(k, th, start[owner] + inner, hit, owner)
 
 
@@ -243,15 +296,17 @@ def _settle_all(keep_first: bool):
 
 
 def _count_windows(batches):
-    """Two hashes and the place of each window of the rows with very common labels."""
+    """A 128-bit digest and the place of each window of the rows with very common labels."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
         for k, th, start, copies, data in zip(*(batch.column(c).to_pylist() for c in ("k", "th", "start", "copies", "bytes"))):
-            text = np.frombuffer(data, np.uint8)
-            n = len(text) - WINDOW + 1
-            at = np.arange(n)
-            one, two = (_spans(_sums(text, i), at, at + WINDOW, i).view(np.int64) for i in range(2))
-            columns = [one, two, np.full(n, k), np.full(n, th, np.int32), (start + at).astype(np.int32), np.full(n, copies)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "k", "th", "begin", "copies"])
+            for at in range(0, len(data) - WINDOW + 1, _CHUNK):
+                n = min(_CHUNK, len(data) - WINDOW + 1 - at)
+                both = np.frombuffer(b"".join(digest(data[i : i + WINDOW], _SEED) for i in range(at, at + n)), "<i8").reshape(n, 2)
+                columns = [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.full(n, k), np.full(n, th), np.arange(start + at, start + at + n, dtype=np.int32), np.full(n, copies)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "k", "th", "begin", "copies"])
 
 
 def repeated_spans(rows: DataFrame, keep_first: bool = False) -> DataFrame:
@@ -260,6 +315,7 @@ def repeated_spans(rows: DataFrame, keep_first: bool = False) -> DataFrame:
     # stored by itself, so that the join below has plain shuffles on both sides, which Spark can split at a hot label
     shared = materialize(found.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "labels")
     again = materialize(found.join(shared, "label"), "shared")
+    discard(found, shared)
     place = F.min(F.struct("k", "th", "start", "windows")).alias("place")
     kinds = materialize(again.groupBy("label", "whole").agg(F.count("*").alias("copies"), place), "kinds")
     equal = again.join(kinds.where("copies > 1").select("label", "whole", "place"), ["label", "whole"])
@@ -274,7 +330,7 @@ def repeated_spans(rows: DataFrame, keep_first: bool = False) -> DataFrame:
     lists = wanted.select(F.col("place.k").alias("k"), F.col("place.th").alias("th"), entry.alias("entry")).groupBy("k", "th").agg(F.collect_list("entry").alias("wanted"))
     contexts = materialize(rows.join(lists, ["k", "th"], "left").where("wanted is not null").mapInArrow(_contexts, CONTEXTS), "contexts")
     few = contexts.where("not many").repartition("label").sortWithinPartitions("label", "k", "th", "start").mapInArrow(_settle_all(keep_first), SPANS)
-    windows = contexts.where("many").mapInArrow(_count_windows, "one long, two long, k long, th int, begin int, copies long")
+    windows = contexts.where("many").mapInArrow(_count_windows, "one long, two long, k long, th long, begin int, copies long")
     spot = F.struct("k", "th", "begin")
     common = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(spot).alias("first")).where("n > 1").select("one", "two", "first")
     many = windows.join(common, ["one", "two"]).where(spot != F.col("first") if keep_first else F.col("copies") == 1)
