@@ -2,11 +2,14 @@
 
 Each document is encoded whole and ended; only documents longer than a sequence
 are cut, the first piece taking the remainder. Full pieces fill a sequence by
-themselves. The others are dealt by hash to groups and packed best-fit
-decreasing, and where that misses its bound by filling bins exactly. Dual feasible functions give a lower bound of each group's bins: a
-group that meets its bound is certified and final. Groups with a gap exchange
-documents: the pieces in their unfilled bins are dealt to new groups and packed
-again, and a new packing is kept only if it has fewer bins.
+themselves. The others are dealt by hash to groups of about GROUP_PIECES and
+packed best-fit decreasing. Dual feasible functions give a lower bound of each
+group's bins: a group that meets its bound is certified and final, and so is a
+full bin. Groups with a gap exchange documents: the pieces in their unfilled bins
+are dealt to new groups, which are repacked best-fit decreasing, or, where that
+still misses the bound, by filling bins exactly; a new packing is kept only if
+it has fewer bins. Each round deals what is left to a fraction of the groups, so
+that gaps meet.
 
 Defined cases: a null text is empty and gives a piece of the end id alone;
 repeated rows are packed one by one; a null doc_id stays null; an empty table
@@ -24,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_or_empty
+from .common import materialize, text_or_empty
 from .encoding import default_tokenizer, encoder, small_batches
 
 CAPACITY = 1024
 #: Pieces of a group, on average: one task's work, whatever the size of the input.
-GROUP_PIECES = 100_000
-ROUNDS = 3
+GROUP_PIECES = 2_000
+#: Rounds of exchange; from one to the next a group's pieces may grow so many times, up to MOST_PIECES.
+ROUNDS = 4
+GROWTH = 3
+MOST_PIECES = 50_000
 _TRIED = 12  # sizes that exact filling tries as the first of three
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -163,58 +169,60 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
 STATE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, offset long, gap int"
 
 
-def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pack a group anew; keep its old bins unless there are fewer now.
+def _pack_group(exact: bool):
+    """Packs a group anew and keeps its old bins unless there are fewer now; exact: fill bins exactly if best fit misses the bound.
 
     gap is 0 where nothing is left to gain: the group meets its bound, or the
     piece's bin is full.
     """
-    pdf = pdf.sort_values(["length", "uid", "doc_id", "piece", "ids_crc32"], ascending=False, kind="stable")
-    lengths = pdf["length"].to_numpy()
-    bins, offsets = best_fit_decreasing(lengths)
-    least = lower_bound(lengths)
-    if bins.max() + 1 > least:
-        other = exact_fill(lengths)
-        if other[0].max() < bins.max():
-            bins, offsets = other
-    before = pdf[["old_grp", "bin"]].drop_duplicates() if (pdf["bin"] >= 0).all() else None
-    count = int(bins.max()) + 1
-    if before is not None and len(before) <= count:
-        # the old bins stay, under numbers of this group
-        bins = pd.factorize(pd.MultiIndex.from_frame(pdf[["old_grp", "bin"]]))[0].astype(np.int64)
-        offsets, count = pdf["offset"].to_numpy(), len(before)
-    certified = count <= least
-    fill = np.bincount(bins, weights=lengths, minlength=count)
-    gap = np.where(certified | (fill[bins] >= CAPACITY), 0, 1)
-    return pdf.assign(bin=bins, offset=offsets, gap=gap)[[c.split()[0] for c in STATE.split(", ")]]
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["length", "uid", "doc_id", "piece", "ids_crc32"], ascending=False, kind="stable")
+        lengths = pdf["length"].to_numpy()
+        bins, offsets = best_fit_decreasing(lengths)
+        least = lower_bound(lengths)
+        if exact and bins.max() + 1 > least:
+            other = exact_fill(lengths)
+            if other[0].max() < bins.max():
+                bins, offsets = other
+        before = pdf[["old_grp", "bin"]].drop_duplicates() if (pdf["bin"] >= 0).all() else None
+        count = int(bins.max()) + 1
+        if before is not None and len(before) <= count:
+            # the old bins stay, under numbers of this group
+            bins = pd.factorize(pd.MultiIndex.from_frame(pdf[["old_grp", "bin"]]))[0].astype(np.int64)
+            offsets, count = pdf["offset"].to_numpy(), len(before)
+        fill = np.bincount(bins, weights=lengths, minlength=count)
+        gap = np.where((count <= least) | (fill[bins] >= CAPACITY), 0, 1)
+        return pdf.assign(bin=bins, offset=offsets, gap=gap)[[c.split()[0] for c in STATE.split(", ")]]
+
+    return packed
 
 
 def pack(pieces: DataFrame, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """pieces (a stored table) with sequence_id and offset."""
     full = F.col("length") >= CAPACITY
     total = pieces.where(~full).count()
-    uid = F.xxhash64(F.monotonically_increasing_id())  # of a stored table: the same in every run of a task
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    uid = F.xxhash64(*columns)  # deals pieces out and breaks ties; repeated rows share it
     open_ = pieces.where(~full).select(uid.alias("uid"), *columns, F.lit(0).cast("long").alias("old_grp"), F.lit(-1).cast("long").alias("bin"), F.lit(-1).cast("long").alias("offset"))
-    done, used = [], []
+    done = []
     for r in range(rounds + 1):
-        groups = max(1, round(total / group_pieces))
-        # each round numbers its groups apart
-        grp = F.pmod(F.xxhash64(F.col("uid"), F.lit(r)), F.lit(groups)) + F.lit(r << 40) if r == 0 else F.pmod(F.xxhash64(F.col("old_grp"), F.col("bin"), F.lit(r)), F.lit(groups)) + F.lit(r << 40)
-        state = materialize(open_.withColumn("grp", grp).groupBy("grp").applyInPandas(_pack_group, STATE), "packing")
-        used.append(state)
-        left = 0 if r == rounds or groups == 1 else state.where("gap = 1").count()
+        groups = max(1, round(total / min(max(MOST_PIECES, group_pieces), group_pieces * GROWTH**r)))
+        # whole bins move from the second round on; each round numbers its groups apart
+        deal = F.xxhash64("uid", F.monotonically_increasing_id()) if r == 0 else F.xxhash64("old_grp", "bin", F.lit(r))
+        state = materialize(open_.withColumn("grp", F.pmod(deal, F.lit(groups)) + F.lit(r << 40)).groupBy("grp").applyInPandas(_pack_group(r > 0), STATE), "packing")
+        left = 0 if r == rounds or (r and groups == 1) else state.where("gap = 1").count()
         if not left:
             done.append(state)
             break
         done.append(state.where("gap = 0"))
         total = left
         open_ = state.where("gap = 1").select("uid", *columns, F.col("grp").alias("old_grp"), "bin", "offset")
-    singles = pieces.where(full).select(*columns, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = pieces.where(full).select(*columns, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for state in done:
         # a group has far fewer than 2^20 bins, and a round far fewer than 2^40 groups
-        singles = singles.union(state.select(*columns, (F.col("grp") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset"))
-    return singles
+        out = out.union(state.select(*columns, (F.col("grp") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset"))
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
