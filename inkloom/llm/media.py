@@ -111,9 +111,17 @@ class Media:
         return list(zip(self.offsets[first].tolist(), ends[np.r_[first[1:] - 1, len(ends) - 1]].tolist()))
 
 
-def walk(data: memoryview, begin: int, end: int, path: tuple = ()):
+#: Boxes within boxes that are followed; files nest seven.
+DEPTH = 32
+
+
+def walk(data: memoryview, begin: int, end: int):
     """(path, begin, end) of the bodies of all boxes, depth first; 64-bit sizes and open-ended boxes included."""
-    while begin < end:
+    open_ = [(begin, end, ())]  # what is left of each box that is being read
+    while open_:
+        begin, end, path = open_.pop()
+        if begin >= end:
+            continue
         if end - begin < 8:
             raise ValueError("truncated box header")
         size, kind = struct.unpack_from(">I4s", data, begin)
@@ -126,29 +134,40 @@ def walk(data: memoryview, begin: int, end: int, path: tuple = ()):
             size = end - begin
         if size < head or begin + size > end:
             raise ValueError("box exceeds its parent")
+        open_.append((begin + size, end, path))
         yield (*path, kind), begin + head, begin + size
         if kind in CONTAINERS:
-            yield from walk(data, begin + head + CONTAINERS[kind], begin + size, (*path, kind))
-        begin += size
+            if len(path) == DEPTH:
+                raise ValueError("boxes are nested too deep")
+            open_.append((begin + head + CONTAINERS[kind], begin + size, (*path, kind)))
+
+
+def _fields(data: memoryview, span: tuple[int, int], at: int, form: str) -> tuple:
+    """Fields of a box at a place in its body."""
+    if at < 0 or span[0] + at + struct.calcsize(form) > span[1]:
+        raise ValueError("truncated box")
+    return struct.unpack_from(form, data, span[0] + at)
 
 
 def _table(data: memoryview, span: tuple[int, int], columns: int, skip: int = 4, kind: str = ">u4") -> np.ndarray:
-    count = struct.unpack_from(">I", data, span[0] + skip)[0]
+    (count,) = _fields(data, span, skip, ">I")
     width = np.dtype(kind).itemsize * columns
     if span[0] + skip + 4 + count * width > span[1]:
         raise ValueError("table exceeds its box")
-    return np.frombuffer(data, kind, count * columns, span[0] + skip + 4).astype(np.int64).reshape(count, columns)
+    values = np.frombuffer(data, kind, count * columns, span[0] + skip + 4)
+    if kind == ">u8" and len(values) and values.max() > len(data):
+        raise ValueError("samples exceed the file")
+    return values.astype(np.int64).reshape(count, columns)
 
 
 def _track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> Media:
-    at = boxes[b"mdhd"][0]
-    timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    handler = bytes(data[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12]).decode("latin-1")
-    entry = boxes[b"stsd"][0] + 8
-    codec = bytes(data[entry + 4 : entry + 8]).decode("latin-1")
-    width, height = struct.unpack_from(">HH", data, entry + 32) if handler == "vide" else (0, 0)
-    begin = boxes[b"stsz"][0]
-    fixed, count = struct.unpack_from(">II", data, begin + 4)
+    header = boxes[b"mdhd"]
+    (version,) = _fields(data, header, 0, ">B")
+    timescale, duration = _fields(data, header, 20, ">IQ") if version == 1 else _fields(data, header, 12, ">II")
+    handler = _fields(data, boxes[b"hdlr"], 8, "4s")[0].decode("latin-1")
+    codec = _fields(data, boxes[b"stsd"], 12, "4s")[0].decode("latin-1")
+    width, height = _fields(data, boxes[b"stsd"], 40, ">HH") if handler == "vide" else (0, 0)
+    fixed, count = _fields(data, boxes[b"stsz"], 4, ">II")
     if fixed:
         if count * fixed > len(data):
             raise ValueError("samples exceed the file")
@@ -157,6 +176,8 @@ def _track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> Media:
         sizes = _table(data, boxes[b"stsz"], 1, 8)[:, 0]
     chunks = (_table(data, boxes[b"co64"], 1, kind=">u8") if b"co64" in boxes else _table(data, boxes[b"stco"], 1))[:, 0]
     runs = _table(data, boxes[b"stsc"], 3)
+    if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunks)):
+        raise ValueError("sample tables contradict each other")
     held = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunks) + 1]).clip(0)) if len(runs) else np.empty(0, np.int64)
     if len(held) != len(chunks) or held.sum() != count:
         raise ValueError("sample tables contradict each other")
@@ -186,8 +207,6 @@ def read_media(data: bytes) -> Media:
         return _track(view, boxes)
     except KeyError as e:
         raise ValueError(f"no box {e.args[0].decode('latin-1')}") from None
-    except struct.error:
-        raise ValueError("truncated box") from None
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
