@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked_join, materialize, partitions, scratch_path, text_or_empty
@@ -32,12 +32,15 @@ ORC_OPTIONS = {
 }
 
 
-def _range_of(column: Column, bounds: list[int], low: int, high: int) -> Column:
-    """Number of bounds at or below a value, as a binary search of nested conditions."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(column < bounds[middle], _range_of(column, bounds, low, middle)).otherwise(_range_of(column, bounds, middle + 1, high))
+#: Bytes of input for each shard, about; there are no fewer shards than shuffle partitions.
+SHARD_BYTES = 256 << 20
+
+
+def shards_for(docs: DataFrame) -> int:
+    """Shards of a table by what Spark's statistics say of its size, so that a shard does not grow with the input."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # without statistics Spark takes tables for huge
+    return max(partitions(docs.sparkSession), min(-(-size // SHARD_BYTES), 1 << 17) if size < 1 << 60 else 0)
 
 
 def by_range(docs: DataFrame, shards: int) -> DataFrame:
@@ -47,10 +50,17 @@ def by_range(docs: DataFrame, shards: int) -> DataFrame:
     repartitionByRange would read the texts once more to sample them.
     """
     cuts = F.array(*(F.lit(i / shards) for i in range(1, shards)))
-    found = docs.agg(F.percentile_approx("doc_id", cuts, 10_000).alias("q")).first().q if shards > 1 else None
+    found = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 4 * shards)).alias("q")).first().q if shards > 1 else None
     bounds = sorted(set(found or []))
-    number = F.coalesce(_range_of(F.col("doc_id"), bounds, 0, len(bounds)), F.lit(0))
-    return docs.repartitionById(len(bounds) + 1, F.when(F.col("doc_id").isNull(), 0).otherwise(number).cast("int"))
+    # one literal however many bounds there are, searched in halves
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    rows = docs.withColumn("_shard", F.lit(0))
+    step = 1 << max(0, len(bounds).bit_length() - 1)
+    while bounds and step:
+        at = F.get(table, F.col("_shard") + (step - 1))
+        rows = rows.withColumn("_shard", F.col("_shard") + F.when(F.col("doc_id") >= at, step).otherwise(0))
+        step //= 2
+    return rows.repartitionById(len(bounds) + 1, F.col("_shard")).drop("_shard")
 
 
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, shards: int | None = None) -> None:
@@ -69,7 +79,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
                 )
                 seq += len(texts)
 
-    ranges = by_range(docs.select("doc_id", text_or_empty().alias("text")), shards or partitions(docs.sparkSession))
+    ranges = by_range(docs.select("doc_id", text_or_empty().alias("text")), shards or shards_for(docs))
     encoded = ranges.sortWithinPartitions("doc_id", "text").mapInArrow(encode, "seq long, doc_id long, tokens array<int>")
     encoded.select(F.spark_partition_id().alias("shard"), "seq", "doc_id", "tokens").write.options(**ORC_OPTIONS).orc(path)
 

@@ -8,7 +8,7 @@ Thresholds are calibrated on a validation part for each language as function
 words in the text show it, and scores are bent so that each threshold is 0.7.
 
 It is fitted on TRAIN_TOXIC and TRAIN_CLEAN labelled documents at most (by hash,
-whole texts), on the driver, and scores every text.
+whole texts, TRAIN_BYTES in all), on the driver, and scores every text.
 
 Defined cases: a null text is empty and scores as the classifier's bias; rows
 without a label teach nothing; with one class only, all scores are 0; repeated
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -35,6 +35,7 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 TRAIN_TOXIC, TRAIN_CLEAN = 4000, 8000
+TRAIN_BYTES = 64 << 20  # of text that comes to the driver
 EPOCHS = 4
 THRESHOLD = 0.7
 #: Words that a worker's cache holds at most; then it starts anew.
@@ -243,7 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     # the first documents of each class by hash: ids alone are sorted, and then these texts are read
     ids = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("key"))
     chosen = ids.where("toxic = 1").orderBy("key", "doc_id").limit(toxic).unionAll(ids.where("toxic = 0").orderBy("key", "doc_id").limit(clean))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen.select("doc_id", "toxic", "key")), "doc_id")
+    sizes = docs.select("doc_id", F.octet_length(text_or_empty()).alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("key", "doc_id", "toxic").agg(F.max("size").alias("size"))
+    # a row for each chosen id: toxic + clean at most
+    fits = F.sum("size").over(Window.partitionBy("toxic").orderBy("key", "doc_id")) <= F.lit(TRAIN_BYTES // 2)
+    few = sizes.withColumn("fits", fits).where("fits").select("doc_id", "toxic", "key")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
     # one text for each chosen id, even where ids repeat
     table = rows.groupBy("key", "doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().sort_by([("key", "ascending"), ("doc_id", "ascending")])
     return train(table.column("text").to_pylist(), table.column("toxic").to_numpy().astype(np.int64))
