@@ -8,20 +8,26 @@ at most, so that all other pairs of tiles are skipped. The remaining pairs of
 blocks are compared by numpy exclusive-or and bit counts, and each gives only
 a spanning forest of its links, never the pairs.
 
+The number of blocks, and so of a row's copies, stays about the same until a
+block reaches MOST_BLOCK rows (8 MB).
+
 near_duplicates() links by the fingerprints alone (the query's contract), or, where
 a similarity is asked for, by the Jaccard similarity of the sets of five-word
 shingles. Texts with equal sets are one row then, and every link is decided on
 the sets. Candidates come from two searches. The first is by fingerprints in a
-wider radius, compared in the same way, where sketches of the sets choose a
-spanning forest; it only spares work, since it ties up large groups in few
-links. The second is complete: with all sets in one order, two sets that are
-similar enough share a shingle among the first few of both (prefix filter), and
-all such pairs that the first search left apart are verified.
+wider radius, compared in the same way; it only spares work, since it ties up
+large groups in few links. The second is complete: with all sets in one order,
+two sets that are similar enough share a shingle among the first few of both
+(prefix filter). In both, a bit map of each set, whose bits are the parities of
+its hashes, bounds from below how many members two sets do not share, so that
+only pairs that may be similar are held against their texts. The second search
+takes a spanning forest of its candidates first, and all that are left apart then.
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other;
 texts of one or two words have one shingle; repeated rows and ids are kept, each
 with its component; a null doc_id does not become a component's id unless all
 its members have none; an empty table gives no rows; other columns are ignored.
+Sets are named by 64-bit digests, and documents that are read again by 96 bits.
 """
 
 from __future__ import annotations
@@ -37,14 +43,17 @@ from .encoding import small_batches
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Fingerprints of a block; a pair of blocks is one task's unit of work.
+#: Fingerprints of a block, at least and at most; a pair of blocks is one task's unit of work.
 BLOCK = 8192
-_STEP = 256  # rows of a block that are compared at once
+MOST_BLOCK = 1 << 20
+_BLOCKS = 64  # blocks of all fingerprints between these bounds
+_STEP, _WIDTH = 256, 1 << 16  # rows and columns of blocks that are compared at once
 #: For verified links: the radius of the first search, at which few unrelated texts are candidates. Pairs beyond it are
 #: found by the second.
 WIDE_RADIUS = 11
-SKETCH_SHINGLE = 5
-SKETCH_BINS = 256
+SET_SHINGLE = 5
+#: Sets of a block of those that share a shingle.
+TOKEN_BLOCK = 2048
 #: About so many documents are read to see which shingles are common, and so many shingles are listed at most. The list
 #: only puts common shingles last in the order of the sets; which links are found does not depend on it.
 COMMON_DOCS = 20_000
@@ -82,16 +91,30 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(bits), bitorder="little").view("<i8")[0])
 
 
-def sketch_of(hashes: np.ndarray, bins: int = SKETCH_BINS) -> bytes:
-    """One-permutation MinHash: the least hash of each bin, cut to 16 bits; 0 is an empty bin. hashes are in order."""
-    out = np.zeros(bins, "<u2")
-    h = hashes[::-1]
-    # of equal bins the last assignment stays, which is the least hash
-    out[(h % bins).astype(np.int64)] = (h // bins % 65535 + 1).astype("<u2")
-    return out.tobytes()
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit map of about a bit for each member: bit i is the parity of the number of hashes that are i modulo its size."""
+    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> int:
+    """A bit map as a number, halved until it has size bytes: what stands in two halves adds up modulo 2."""
+    x, n = int.from_bytes(bits, "little"), len(bits)
+    while n > size:
+        n //= 2
+        x = (x ^ x >> 8 * n) & ((1 << 8 * n) - 1)
+    return x
 
 
-def shingle_set(text: str | None, width: int = SKETCH_SHINGLE) -> np.ndarray:
+def may_be_similar(one: bytes, n: int, other: bytes, m: int, similarity: float) -> bool:
+    """False only if sets of n and m members with these bit maps are less similar: each differing bit is a member of one alone."""
+    size = min(len(one), len(other))
+    apart = (folded(one, size) ^ folded(other, size)).bit_count()
+    return n + m - apart >= 2 * (n + m) * (similarity / (1 + similarity)) - 1e-6
+
+
+def shingle_set(text: str | None, width: int = SET_SHINGLE) -> np.ndarray:
     """The distinct shingle hashes in order; none for a text without words."""
     words = words_of(text)
     return np.unique(shingle_hashes(words, width)) if words else np.zeros(0, "<u8")
@@ -105,13 +128,6 @@ def rarest_first(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) ->
     return hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")]
 
 
-def agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of a sketch with each of others."""
-    both = (one[None, :] != 0) | (others != 0)
-    equal = (one[None, :] == others) & (one[None, :] != 0)
-    return equal.sum(axis=1) / np.maximum(both.sum(axis=1), 1)
-
-
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp of each document."""
 
@@ -140,13 +156,18 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return common[order], counts[order]
 
 
-def _row():
-    """What names a document (doc_id, text) when its text is read again."""
-    return F.xxhash64("doc_id", "text").alias("row")
+def named(docs: DataFrame, *columns: str) -> DataFrame:
+    """columns, text, and what names a document (doc_id, text) when it is read again: row (64 bits) and mark (32 more)."""
+    return docs.select(*columns, text_or_empty().alias("text"), *names_of("doc_id", "text"))
+
+
+def names_of(doc_id: str, text: str) -> list:
+    parts = [F.coalesce(F.col(text), F.lit("")), F.col(doc_id), F.col(doc_id).isNull()]
+    return [F.xxhash64(*parts).alias("row"), F.hash(*reversed(parts)).alias("mark")]
 
 
 def signatures(docs: DataFrame, similarity: float, width: int = SHINGLE) -> DataFrame:
-    """row, doc_id, fp, and of the five-word shingles: a hash of the set (key), a sketch, the count n and the first of the set that sharing() needs."""
+    """row, mark, doc_id, fp, and of the five-word shingles: a hash of the set (key), its bit map, its size n and the first of it that sharing() needs."""
     listed = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def hashed(batches):
@@ -157,12 +178,12 @@ def signatures(docs: DataFrame, similarity: float, width: int = SHINGLE) -> Data
                 sizes = np.array([len(h) for h in sets], np.int32)
                 some = np.where(sizes > 0, sizes - np.ceil(sizes * similarity - 1e-9).astype(np.int32) + 1, 0)
                 first = np.concatenate([rarest_first(h, common, counts)[:k] for h, k in zip(sets, some.tolist())]).view(np.int64)
-                columns = [part.column("row"), part.column("doc_id"), pa.array([fingerprint(t, width) for t in texts], pa.int64()), _keys(sets), pa.array([sketch_of(h) for h in sets], pa.binary()), pa.array(sizes)]
                 ends = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(first))], ["row", "doc_id", "fp", "key", "sketch", "n", "first"])
+                columns = [*(part.column(c) for c in ("row", "mark", "doc_id")), pa.array([fingerprint(t, width) for t in texts], pa.int64()), _keys(sets), pa.array([parities(h) for h in sets], pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(first))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "mark", "doc_id", "fp", "key", "bits", "n", "first"])
 
-    schema = "row long, doc_id long, fp long, key long, sketch binary, n int, first array<long>"
-    return docs.select(_row(), "doc_id", text_or_empty().alias("text")).mapInArrow(hashed, schema)
+    schema = "row long, mark int, doc_id long, fp long, key long, bits binary, n int, first array<long>"
+    return named(docs, "doc_id").select("row", "mark", "doc_id", "text").mapInArrow(hashed, schema)
 
 
 def _keys(sets: list[np.ndarray]) -> pa.Array:
@@ -172,7 +193,7 @@ def _keys(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """key, grams (the whole set) of the documents that rows (row) names, each key once."""
+    """key, grams (the whole set) of the documents that rows (row, mark) names, each key once."""
 
     def hashed(batches):
         for batch in batches:
@@ -181,25 +202,37 @@ def _sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([_keys(sets), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["key", "grams"])
 
-    texts = _narrowed(docs.select(_row(), text_or_empty().alias("text")), rows.select("row"), "row").select("text")
+    texts = narrowed(named(docs), rows.select("row", "mark"), ["row", "mark"]).select("text")
     return texts.mapInArrow(hashed, "key long, grams array<long>").dropDuplicates(["key"])
 
 
-def _narrowed(left: DataFrame, small: DataFrame, on: str) -> DataFrame:
+def narrowed(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """left join small, a stored table where on is unique; broadcast up to a bound."""
-    return left.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on)
+    return left.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on, how)
 
 
 class Forest:
-    """Labels of rows, merged as links come in."""
+    """Classes of rows, merged as links come in; each row points towards its class's root."""
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
+        self.parent = np.arange(n)
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        out = self.parent[rows]
+        while True:
+            above = self.parent[out]
+            if np.array_equal(above, out):
+                return out
+            out = self.parent[above]
+
+    def settle(self) -> np.ndarray:
+        """Point each row at its root."""
+        self.parent = self.roots(np.arange(len(self.parent)))
+        return self.parent
 
     def merge(self, row: int, others: np.ndarray) -> None:
-        roots = np.unique(np.append(self.label[others], self.label[row]))
-        if len(roots) > 1:
-            self.label[np.isin(self.label, roots[1:])] = roots[0]
+        roots = np.unique(self.roots(np.append(others, row)))
+        self.parent[roots[1:]] = roots[0]
 
 
 def linked(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -208,41 +241,48 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     columns, shift = (left, 0) if right is None else (right, len(left))
     forest = Forest(len(points))
     for at in range(0, len(left), _STEP):
-        near = np.bitwise_count(left[at : at + _STEP, None] ^ columns[None, :]) <= radius
-        if right is None:
-            near[np.arange(len(near)), np.arange(at, at + len(near))] = False
-        for i in np.flatnonzero(near.any(axis=1)):
-            forest.merge(at + int(i), np.flatnonzero(near[i]) + shift)
-    moved = np.flatnonzero(forest.label != np.arange(len(points)))
-    return points[moved], points[forest.label[moved]]
+        some = left[at : at + _STEP]
+        for begin in range(0, len(columns), _WIDTH):
+            near = np.bitwise_count(some[:, None] ^ columns[None, begin : begin + _WIDTH]) <= radius
+            for i in np.flatnonzero(near.any(axis=1)):
+                forest.merge(at + int(i), np.flatnonzero(near[i]) + begin + shift)
+        forest.settle()
+    label = forest.settle()
+    moved = np.flatnonzero(label != np.arange(len(points)))
+    return points[moved], points[label[moved]]
 
 
-def alike(fps: np.ndarray, sketches: np.ndarray, split: int | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row numbers) between rows that are within radius and whose sketches agree, unless earlier ones tie both ends.
+def alike(fps: np.ndarray, sizes: np.ndarray, bits: list[bytes], split: int | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row numbers) between rows that are within radius and whose sets may be similar, unless earlier ones tie both ends.
 
     fps[:split] and fps[split:] are the blocks. Unlike those of linked(), the links are pairs that were compared.
     """
-    forest, us, vs = Forest(len(fps)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    forest, us, vs = Forest(len(fps)), [], []
     ends, shift = (len(fps), 0) if split is None else (split, split)
     columns = fps[shift:]
     for at in range(0, ends, _STEP):
-        near = np.bitwise_count(fps[at : min(at + _STEP, ends), None] ^ columns[None, :]) <= radius
-        for i in np.flatnonzero(near.any(axis=1)):
-            row = at + int(i)
-            others = np.flatnonzero(near[i]) + shift
-            others = others[forest.label[others] != forest.label[row]]
-            if len(others):
-                good = others[agreement(sketches[row], sketches[others]) >= similarity]
-                if len(good):
-                    forest.merge(row, good)
-                    us.append(np.full(len(good), row))
-                    vs.append(good)
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def _block_pairs(distinct: DataFrame, radius: int, block: int) -> DataFrame | None:
+        some = fps[at : min(at + _STEP, ends)]
+        for begin in range(0, len(columns), _WIDTH):
+            near = np.bitwise_count(some[:, None] ^ columns[None, begin : begin + _WIDTH]) <= radius
+            for i in np.flatnonzero(near.any(axis=1)):
+                row = at + int(i)
+                others = np.flatnonzero(near[i]) + begin + shift
+                others = others[forest.roots(others) != forest.roots(np.array([row]))[0]]
+                n = sizes[row]
+                others = others[np.minimum(sizes[others], n) >= similarity * np.maximum(sizes[others], n) - 1e-6]
+                good = [int(j) for j in others if may_be_similar(bits[row], int(n), bits[j], int(sizes[j]), similarity)]
+                if good:
+                    forest.merge(row, np.array(good))
+                    us += [row] * len(good)
+                    vs += good
+        forest.settle()
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def _block_pairs(distinct: DataFrame, radius: int, block: int | None) -> DataFrame | None:
     """Rows of distinct with one, two (block codes of a pair to compare) and side (0, 1, or 2 within a block)."""
     spark = distinct.sparkSession
+    block = block or min(MOST_BLOCK, max(BLOCK, distinct.count() // _BLOCKS))
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     # wide radii leave few tiles of half counts apart: there tiles are whole counts
     halves = radius < 6
@@ -257,9 +297,9 @@ def _block_pairs(distinct: DataFrame, radius: int, block: int) -> DataFrame | No
     mine = F.pmod(F.xxhash64("key" if "key" in distinct.columns else "fp"), F.col("blocks")).cast("int")
     code = lambda a, b, n: (F.col(a) * 128 + F.col(b)).cast("long") * (1 << 20) + n
     names = distinct.columns
-    rows = tiled.join(F.broadcast(table), ["a", "b"]).select(*names, code("a", "b", mine).alias("me"), F.explode("near").alias("to"))
-    rows = rows.select(*names, "me", "to", F.explode(F.sequence(F.lit(0), F.col("to.blocks") - 1)).alias("n"))
-    rows = rows.select(*names, "me", code("to.c", "to.d", F.col("n")).alias("it"))
+    rows = tiled.join(F.broadcast(table), ["a", "b"]).select(F.struct(*names).alias("_row"), code("a", "b", mine).alias("me"), F.explode("near").alias("to"))
+    rows = rows.select("_row", "me", "to", F.explode(F.sequence(F.lit(0), F.col("to.blocks") - 1)).alias("block"))
+    rows = rows.select("_row.*", "me", code("to.c", "to.d", F.col("block")).alias("it"))
     side = F.when(F.col("me") == F.col("it"), 2).when(F.col("me") < F.col("it"), 0).otherwise(1)
     return rows.select(*names, F.least("me", "it").alias("one"), F.greatest("me", "it").alias("two"), side.alias("side"))
 
@@ -269,7 +309,7 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return side, table.column("fp").to_numpy().view(np.uint64), bool((side == 2).any())
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, block: int | None = None) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints (a stored table, column fp) within radius."""
     pairs = _block_pairs(distinct.select("fp"), radius, block)
     if pairs is None:
@@ -283,7 +323,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return pairs.groupBy("one", "two").applyInArrow(compare, "u long, v long")
 
 
-def with_neighbours(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+def with_neighbours(distinct: DataFrame, radius: int, block: int | None = None) -> DataFrame:
     """The fingerprints (a stored table) that have another one within radius."""
     pairs = _block_pairs(distinct.select("fp"), radius, block)
     if pairs is None:
@@ -294,81 +334,162 @@ def with_neighbours(distinct: DataFrame, radius: int, block: int = BLOCK) -> Dat
         left, right = (fps, fps) if inner else (fps[side == 0], fps[side == 1])
         some_left, some_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
         for at in range(0, len(left), _STEP):
-            near = np.bitwise_count(left[at : at + _STEP, None] ^ right[None, :]) <= radius
-            if inner:
-                near[np.arange(len(near)), np.arange(at, at + len(near))] = False
-            some_left[at : at + _STEP] = near.any(axis=1)
-            some_right |= near.any(axis=0)
+            for begin in range(0, len(right), _WIDTH):
+                near = np.bitwise_count(left[at : at + _STEP, None] ^ right[None, begin : begin + _WIDTH]) <= radius
+                if inner:
+                    same = np.arange(max(at, begin), min(at + len(near), begin + near.shape[1]))
+                    near[same - at, same - begin] = False
+                some_left[at : at + _STEP] |= near.any(axis=1)
+                some_right[begin : begin + _WIDTH] |= near.any(axis=0)
         return pa.table({"fp": np.concatenate([left[some_left], right[some_right]]).view(np.int64)})
 
     return pairs.groupBy("one", "two").applyInArrow(flag, "fp long").distinct()
 
 
-def likely_links(signed: DataFrame, distinct: DataFrame, similarity: float, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) of keys of distinct (a stored table) whose fingerprints are within radius and whose sketches have the similarity."""
+def likely_links(signed: DataFrame, distinct: DataFrame, similarity: float, radius: int = WIDE_RADIUS, block: int | None = None) -> DataFrame:
+    """Pairs (u, v) of keys of distinct (a stored table) whose fingerprints are within radius and whose sets may have the similarity."""
     by_fp = materialize(distinct.groupBy("fp").agg((F.count("*") > 1).alias("several")), "by_fp")
-    flagged = with_neighbours(by_fp, radius, block).union(by_fp.where("several").select("fp")).distinct()
-    near = materialize(distinct.select("fp", "key", "row").join(materialize(flagged, "neighbours"), "fp"), "near")
-    some = materialize(near.join(signed.select("row", "sketch"), "row").dropDuplicates(["row"]).select("fp", "key", "sketch"), "sketches")
-    pairs = _block_pairs(some, radius, block)
+    flagged = materialize(with_neighbours(by_fp, radius, block).union(by_fp.where("several").select("fp")).distinct(), "neighbours")
+    near = materialize(narrowed(distinct, flagged, ["fp"]).select("fp", "key", "n", "bits"), "near")
+    pairs = _block_pairs(near, radius, block)
     if pairs is None:
         return distinct.sparkSession.createDataFrame([], "u long, v long")
 
     def compare(table: pa.Table) -> pa.Table:
         side, fps, inner = _sides(table)
         order = np.argsort(side, kind="stable")
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(fps), -1)
-        u, v = alike(fps[order], sketches[order], None if inner else int((side == 0).sum()), radius, similarity)
-        keys = table.column("key").to_numpy()[order]
+        bits, keys = table.column("bits").to_pylist(), table.column("key").to_numpy()[order]
+        u, v = alike(fps[order], table.column("n").to_numpy()[order], [bits[i] for i in order], None if inner else int((side == 0).sum()), radius, similarity)
         return pa.table({"u": keys[u], "v": keys[v]})
 
     found = pairs.groupBy("one", "two").applyInArrow(compare, "u long, v long")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "likely")
+    discard(by_fp, flagged, near)
+    return found
 
 
-def sharing(signed: DataFrame, distinct: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of keys in different classes (id, component) that may have the similarity: none that has it is left out.
+def shared(signed: DataFrame) -> DataFrame:
+    """(token, key) of the shingles among the first of several sets: two sets of n and m members with the similarity s have
+    ceil(s * n) in common at least, so that one of the first n - ceil(s * n) + 1 of either is shared."""
+    heads = signed.select("key", F.explode("first").alias("token"))
+    several = materialize(heads.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token"), "several")
+    out = materialize(heads.join(several, "token").distinct(), "shared")
+    discard(several)
+    return out
 
-    Sets of m and n members with the similarity s have ceil(s * n) in common at
-    least, so that one of the first n - ceil(s * n) + 1 of either is shared. Where
-    a shingle is the i-th and j-th of two sets (from 0), at most
-    min(i, j) + 1 + min(m - i, n - j) - 1 are in common.
+
+def _meetings(similarity: float, sparing: bool):
+    """Pairs of sets of different classes that may be similar, of rows in the order of their token and pair of blocks."""
+
+    def group(rows: list[tuple]) -> set[tuple[int, int]]:
+        key, label, n, side = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 7))
+        bits = [r[6] for r in rows]
+        names, label = np.unique(label, return_inverse=True)
+        forest, out = Forest(len(names)), set()
+        both = set(side.tolist()) == {0, 1}
+        left = np.flatnonzero(side == 0) if both else np.arange(len(rows))
+        right = np.flatnonzero(side == 1) if both else np.arange(len(rows))
+        for at in range(0, len(left), _STEP):
+            i = left[at : at + _STEP]
+            fit = (label[i][:, None] != label[right][None, :]) & (np.minimum(n[i][:, None], n[right][None, :]) >= similarity * np.maximum(n[i][:, None], n[right][None, :]) - 1e-6)
+            if not both:
+                fit &= key[i][:, None] < key[right][None, :]
+            for a, b in zip(*(x.tolist() for x in np.nonzero(fit))):
+                a, b = int(i[a]), int(right[b])
+                if sparing and len(set(forest.roots(label[[a, b]]).tolist())) == 1:
+                    continue
+                if may_be_similar(bits[a], int(n[a]), bits[b], int(n[b]), similarity):
+                    out.add((min(int(key[a]), int(key[b])), max(int(key[a]), int(key[b]))))
+                    if sparing:
+                        forest.merge(int(label[a]), label[[b]])
+        return out
+
+    def meet(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for row in zip(*(batch.column(c).to_pylist() for c in ("token", "one", "two", "key", "class", "n", "bits", "side"))):
+                if held and row[:3] != held[0][:3]:
+                    found |= group(held)
+                    held = []
+                held.append(row)
+            yield _pairs(found)
+        if held:
+            yield _pairs(group(held))
+
+    return meet
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def sharing(tokens: DataFrame, distinct: DataFrame, classes: DataFrame, similarity: float, sparing: bool, block: int = TOKEN_BLOCK) -> DataFrame:
+    """Pairs (u, v) of keys in different classes (id, component) that may have the similarity, by what shared() gave.
+
+    None that has it is left out, or, with sparing, only those that others tie
+    up. Tokens of very many sets are cut into blocks, which meet in pairs.
     """
-    ours = distinct.select("row", "key").join(classes.withColumnRenamed("id", "key"), "key", "left").select("row", "key", F.coalesce("component", "key").alias("class"))
-    heads = signed.select("row", "n", "first").join(ours, "row").dropDuplicates(["row"])
-    heads = materialize(heads.select("key", "class", "n", F.posexplode("first").alias("at", "token")), "heads")
-    across = heads.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-    live = materialize(_narrowed(heads, materialize(across, "across"), "token"), "shared")
-    discard(heads)
-    one, two = (live.select("token", *(F.col(c).alias(f"{c}_{i}") for c in ("key", "class", "n", "at"))) for i in (1, 2))
-    needed = (F.col("n_1") + F.col("n_2")) * (similarity / (1 + similarity)) - 1e-6
-    rest = F.least(F.col("n_1") - F.col("at_1"), F.col("n_2") - F.col("at_2")) - 1
-    met = one.join(two, "token").where((F.col("key_1") < F.col("key_2")) & (F.col("class_1") != F.col("class_2")) & (F.least("at_1", "at_2") + 1 + rest >= needed))
-    # what is in common comes up to the last shared one, or after it in both sets
-    counted = met.groupBy(F.col("key_1").alias("u"), F.col("key_2").alias("v")).agg(F.count("*").alias("seen"), F.min(rest).alias("rest"), F.first(needed).alias("needed"))
-    return counted.where("seen + rest >= needed").select("u", "v")
+    of_key = distinct.select("key", "n", "bits").join(classes.withColumnRenamed("id", "key"), "key", "left").withColumn("class", F.coalesce("component", "key")).drop("component")
+    rows = materialize(tokens.join(of_key, "key"), "rows")
+    across = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("sets")).where("low < high")
+    across = materialize(across.select("token", F.ceil(F.col("sets") / block).cast("int").alias("blocks")), "across")
+    live = rows.join(across, "token").withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    live = live.withColumn("it", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") <= F.col("it"), 0).otherwise(1)
+    live = live.select("token", F.least("mine", "it").alias("one"), F.greatest("mine", "it").alias("two"), "key", "class", "n", "bits", side.alias("side"))
+    met = live.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(_meetings(similarity, sparing), "u long, v long")
+    found = materialize(met.distinct(), "sharing")
+    discard(rows, across)
+    return found
 
 
 def exactly(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v; a stored table) of keys whose sets have the similarity."""
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    sets = materialize(_sets(docs, materialize(distinct.select("row", "key").join(keys, "key"), "rows")), "sets")
+    rows = materialize(distinct.select("row", "mark", "key").join(keys, "key").select("row", "mark"), "rows")
+    sets = materialize(_sets(docs, rows), "sets")
     one, two = (sets.select(F.col("key").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "uv")
     found = pairs.join(one, "u").join(two, "v").withColumn("both", F.size(F.array_intersect("grams_u", "grams_v")))
     found = materialize(found.where(F.col("both") / (F.size("grams_u") + F.size("grams_v") - F.col("both")) >= similarity).select("u", "v"), "links")
-    discard(sets)
+    discard(pairs, rows, sets)
     return found
 
 
-def similar_documents(docs: DataFrame, similarity: float, width: int = SHINGLE, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp, component_id: the classes of all links of at least the similarity."""
+def similar_sets(docs: DataFrame, similarity: float, width: int = SHINGLE, radius: int = WIDE_RADIUS, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, sets, classes of sets) by all links of at least the similarity: tables of signatures(), of a row for each key, and (id, component)."""
     signed = materialize(signatures(docs, similarity, width), "signatures")
-    members = signed.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("_"), F.min("fp").alias("fp"), F.min("doc_id").alias("doc_id"))
-    distinct = materialize(members.select("key", "fp", "doc_id", "_.row"), "distinct")
-    found = exactly(materialize(likely_links(signed, distinct, similarity, radius, block), "likely"), docs, distinct, similarity)
-    first = connected_components(found)
-    more = exactly(materialize(sharing(signed, distinct, first, similarity), "sharing"), docs, distinct, similarity)
-    return _classes(signed, distinct, connected_components(found.union(more)), "key")
+    first = F.min(F.struct("doc_id", "row", "mark", "fp", "n", "bits")).alias("_")
+    distinct = materialize(signed.groupBy("key").agg(first, F.min("doc_id").alias("doc_id")).select("key", "doc_id", "_.row", "_.mark", "_.fp", "_.n", "_.bits"), "distinct")
+    found = exactly(likely_links(signed, distinct, similarity, radius, block), docs, distinct, similarity)
+    tokens, classes = shared(signed), connected_components(found)
+    for sparing in (True, False):
+        candidates = sharing(tokens, distinct, classes, similarity, sparing)
+        if candidates.isEmpty():
+            break
+        more = exactly(candidates, docs, distinct, similarity)
+        classes = connected_components(classes.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
+    discard(tokens)
+    return signed, distinct, classes
+
+
+def survivors(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(names (row, mark) of the documents that are not the first of their class, names that several rows have and that are).
+
+    The first of a class has the least doc_id, and of equal ones the least name;
+    documents without an id come after all others. Rows with one name are equal
+    in id and text.
+    """
+    signed, distinct, classes = similar_sets(docs, similarity)
+    root = distinct.select("key").join(classes.withColumnRenamed("id", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("root"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark")
+    placed = signed.groupBy("row", "mark").agg(F.first("key").alias("key"), F.first("doc_id").alias("doc_id"), F.count("*").alias("copies")).join(root, "key").select("root", place.alias("place"), "copies")
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    judged = materialize(placed.join(first, "root").select("place.row", "place.mark", "copies", F.col("place").eqNullSafe(F.col("first")).alias("leads")), "judged")
+    out = materialize(judged.where("not leads").select("row", "mark"), "removed"), materialize(judged.where("leads and copies > 1").select("row", "mark"), "repeated")
+    discard(signed, distinct, judged)
+    return out
 
 
 def _classes(marked: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
@@ -379,10 +500,11 @@ def _classes(marked: DataFrame, distinct: DataFrame, roots: DataFrame, key: str)
     return marked.select("doc_id", "fp", *({key} - {"fp"})).join(classes, key).select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, block: int | None = None, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id of each document; with a similarity, links are verified."""
     if similarity is not None:
-        found = similar_documents(docs, similarity, width, max(radius, WIDE_RADIUS), block)
+        signed, distinct, roots = similar_sets(docs, similarity, width, max(radius, WIDE_RADIUS), block)
+        found = _classes(signed, distinct, roots, "key")
     else:
         marked = materialize(fingerprints(docs, width), "fingerprints")
         distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
