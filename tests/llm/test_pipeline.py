@@ -63,3 +63,18 @@ def test_empty_documents(spark):
 
 def test_the_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == staged(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)[-1].count()
+
+
+def test_repeated_ids_of_different_texts(spark):
+    text = lambda seed: " ".join(f"w{(seed * 7919 + i * i) % 1009}" for i in range(60))
+    a, b, c = text(1), text(2), text(3)
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, c), (None, c), (None, a + " x"), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit(1))
+    kept = corpus_pipeline.deduplicate(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(5, a), (3, b), (7, c), (9, "")])
+    # later stages keep repeated ids of different texts apart
+    for stage in (corpus_pipeline.redact, corpus_pipeline.mix):
+        assert {r.text for r in stage(spark, docs.where("text is not null"), SF).collect()} <= {t for _, t in rows} | {r.text for r in docs.collect()} | {None}
+    packed = corpus_pipeline.pack(spark, docs, SF).where("piece = 0")
+    assert Counter(r.doc_id for r in packed.collect()) == Counter(i for i, _ in rows)
