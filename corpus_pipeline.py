@@ -27,16 +27,20 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest id; documents without one come last."""
-    stand_in = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
-    keyed = docs.withColumn("_inkloom_id", F.coalesce("doc_id", stand_in))
-    classes = materialize(simhash.near_duplicates(keyed.select(F.col("_inkloom_id").alias("doc_id"), "text"), similarity=SIMILARITY), "classes")
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_inkloom_id"))
-    kept = keyed.join(first.distinct(), "_inkloom_id", "left_semi")
-    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.select(*docs.columns)
-    # repeated rows of one id are in the same group
-    return kept.withColumn("_inkloom_text", F.xxhash64("text")).dropDuplicates(["_inkloom_id", "_inkloom_text"]).select(*docs.columns)
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): that with the smallest id.
+
+    Documents without an id come last. Rows that share an id but not their text
+    are documents of their own, of which those with other groups stay; of rows
+    equal in id and text one stays, and which is not defined where their other
+    columns differ.
+    """
+    removed, repeated = simhash.survivors(docs, SIMILARITY)
+    doc = F.struct(*docs.columns).alias("_inkloom_doc")
+    rows = docs.select(doc, *simhash.names_of("doc_id", "text"))
+    out = removed.union(repeated)
+    alone = simhash.narrowed(rows, materialize(out, "dropped"), ["row", "mark"], "left_anti")
+    one = simhash.narrowed(rows, repeated, ["row", "mark"]).dropDuplicates(["row", "mark"])
+    return alone.select("_inkloom_doc.*").unionByName(one.select("_inkloom_doc.*"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
