@@ -47,6 +47,7 @@ FUNCTION_WORDS = {
     "de": "der die und das ist nicht ein eine von mit zu den sich auf",
     "es": "el los y en las por con una para del se como lo",
 }
+_PLACES = 1 << 20  # places of texts that are convolved at once
 _STRIP = ".,;:!?\"'()[]{}<>*-_…«»“”‘’"
 
 
@@ -125,9 +126,26 @@ class Classifier:
             out.append(y)
         return out
 
+    def pooled(self, pairs: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The largest output of each filter in each text: at its words and the first place of the gap after them.
+
+        Places further into the gap would see the next text's words. Long texts
+        are taken in parts, so that memory stays bounded.
+        """
+        ends = np.append(begins[1:], len(pairs)) - max(WIDTHS) + 1
+        if len(pairs) <= _PLACES:
+            places = np.stack([begins, ends], axis=1).ravel()
+            return np.concatenate([np.maximum.reduceat(y, places, axis=0)[::2] for y in self.convolved(pairs)], axis=1)
+        out = np.full((len(begins), FILTERS * len(WIDTHS)), -np.inf, np.float32)
+        for i, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist())):
+            for at in range(begin, end, _PLACES):
+                n = min(_PLACES, end - at)
+                part = self.convolved(pairs[at : at + n + max(WIDTHS) - 1])
+                out[i] = np.maximum(out[i], np.concatenate([y[:n].max(axis=0) for y in part]))
+        return out
+
     def probability(self, pairs: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        pooled = np.concatenate([np.maximum.reduceat(y, begins, axis=0) for y in self.convolved(pairs)], axis=1)
-        return 1 / (1 + np.exp(-(np.maximum(pooled, 0) @ self.weight + self.bias)))
+        return 1 / (1 + np.exp(-(np.maximum(self.pooled(pairs, begins), 0) @ self.weight + self.bias)))
 
     def bend(self, p: np.ndarray, language: np.ndarray) -> np.ndarray:
         """Scores in which each language's threshold is THRESHOLD."""

@@ -353,6 +353,66 @@ def test_op8_toxicity(spark, tmp_path):
     assert toxicity.scored(docs.limit(3), None).agg(F.max("score")).first()[0] == 0
 
 
+def plain_score(model, text):
+    """The network's output for a text, word by word."""
+    words = [w.strip(toxicity._STRIP) or w for w in (text or "").lower().split()]
+    x = []
+    for w in words:
+        one, two = zlib.crc32(w.encode()), zlib.crc32(w.encode(), 0x5BD1E995)
+        two = (two * 0x9E3779B1 ^ one * 0x85EBCA77) >> 11
+        x.append([float(model.embedding[one % toxicity.BUCKETS][d]) + float(model.embedding[two % toxicity.BUCKETS][d]) for d in range(toxicity.DIM)])
+    x += [[0.0] * toxicity.DIM] * 3
+    total, k = model.bias, 0
+    for f, b in zip(model.filters, model.offsets):
+        for n in range(toxicity.FILTERS):
+            best = max(float(b[n]) + sum(x[i + j][d] * float(f[j, d, n]) for j in range(len(f)) for d in range(toxicity.DIM)) for i in range(len(words) + 1))
+            total += max(best, 0.0) * float(model.weight[k])
+            k += 1
+    return 1 / (1 + math.exp(-total))
+
+
+def test_op8_forward_pass_against_plain_loops(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = toxicity.Classifier.initial(rng.uniform(0, 4, toxicity.BUCKETS).astype(np.float32))
+    model.filters = [rng.normal(0, 0.5, f.shape).astype(np.float32) for f in model.filters]
+    texts = ["You, bad thing!", "", "one", None, "Two words", "the quick brown fox jumps over " * 4, "one", "ÉTÉ — x"]
+    words = toxicity.Words()
+    numbers, begins = words.numbers([t or "" for t in texts])
+    want = [plain_score(model, t) for t in texts]
+    for places in (1 << 20, 2, 5):  # whole, and in parts
+        monkeypatch.setattr(toxicity, "_PLACES", places)
+        np.testing.assert_allclose(model.probability(words.buckets[numbers], begins), want, rtol=1e-4)
+
+
+def test_op6_filter_against_plain_sets(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        plain = "   " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + "   "
+        return [g for g in (plain[i : i + 4] for i in range(len(plain) - 3)) if any(c.isalpha() for c in g)]
+
+    counts = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    known = {lang: {g for g, n in c.items() if n >= max(2, 1e-5 * sum(c.values()))} for lang, c in counts.items()}
+    docs = spark.createDataFrame(rows)
+    got = {r.doc_id: r for r in langid.identified(docs, langid.fit(docs), ["doc_id"]).collect()}
+    decided = 0
+    for r in rows:
+        mine = grams(r.text)
+        if not mine:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        share = {lang: sum(g in s for g in mine) / len(mine) for lang, s in known.items()}
+        best, second = sorted(share.values(), reverse=True)[:2]
+        assert abs(got[r.doc_id].known - best) < 0.02
+        if best - second > 0.02:  # what the filter's false positives cannot turn
+            assert share[got[r.doc_id].lang_pred] == best
+            decided += 1
+    assert decided > 0.95 * len(rows)
+
+
 def test_op9_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(5)
     text = lambda n: "".join(rng.choice(list("ab é,\n"), n))
