@@ -8,7 +8,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast; their rows are narrow (a few dozen bytes).
@@ -103,8 +103,11 @@ def checked_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "i
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _counted(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """edges written as a table, and their number and checksum, taken along while they are written."""
+    seen = Observation()
+    stored = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), name)
+    return stored, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -117,16 +120,14 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges and an empty table are allowed.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, name)
-    seen = _checksum(edges)
+    edges, seen = _counted(edges, name)
     while seen[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        after = materialize(small.where("u <> v").distinct(), name)
-        now = _checksum(after)
+        after, now = _counted(small.where("u <> v").distinct(), name)
         discard(edges)
         edges, before, seen = after, seen, now
         if before == now:

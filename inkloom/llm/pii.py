@@ -89,7 +89,7 @@ STRICT = {
     "secret": r"(?i)[=:]\x20?[\"']?[a-z0-9+/_.-]{8,}$|^(?-i:(?:AKIA|ASIA)[A-Z0-9]{16}|ghp_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[bp]-[A-Za-z0-9-]{10,})$|^[0-9a-f]{32,}$",
 }
 EM_ROUNDS = 30
-NEWTON_ROUNDS = 8
+NEWTON_ROUNDS = 6
 RIDGE = 1.0
 #: Least posterior of the final classifier for a candidate to become a span.
 ACCEPT = 0.9
