@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 
 from .text import INVISIBLE
 
-#: Prefixes of file and image links.
+# Prefixes of file and image links.
 FILE_PREFIXES = ("Tập tin:", "Tập_tin:", "File:")
 
 
@@ -85,6 +85,18 @@ def strip_markup(values: pd.Series) -> pd.Series:
     return _each(stripped_markup)(values)
 
 
+@F.pandas_udf(StringType())
+def without_templates(values: pd.Series) -> pd.Series:
+    """remove_templates() in time linear in the text, for whole pages."""
+    return _each(lambda t: outside(t, "{{", "}}"))(values)
+
+
+@F.pandas_udf(StringType())
+def without_tables(values: pd.Series) -> pd.Series:
+    """remove_tables() in time linear in the text, for whole pages."""
+    return _each(lambda t: outside(t, "{|", "|}"))(values)
+
+
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
 _EXTERNAL = re.compile(r"\[(?:https?:)?//[^\s\]]+\s*([^\]]*)\]")
 _REFERENCE = re.compile(r"<ref\b[^>/]*/>|<ref\b[^>]*>.*?</ref\s*>", re.DOTALL | re.IGNORECASE)

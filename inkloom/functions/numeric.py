@@ -32,17 +32,11 @@ def finite(column: Column) -> Column:
     return column.isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf"))
 
 
-def quantile_edges(column: Column, bins: int) -> Column:
-    """Aggregate: distinct linear quantiles of the finite values at i / bins.
-
-    One distinct edge x gives x - 1 and x + 1; no value gives 0 and 1; fewer than
-    one bin counts as one.
-    """
-    bins = max(1, bins)
-    value = F.when(finite(column), column.cast("double"))
-    edges = F.array_sort(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(bins + 1))))))
+def distinct_edges(quantiles: Column) -> Column:
+    """Bin edges from an array of quantiles: the distinct ones in order; a single one x gives x - 1 and x + 1, and null 0 and 1."""
+    edges = F.array_sort(F.array_distinct(quantiles))
     single = F.array(F.get(edges, F.lit(0)) - 1, F.get(edges, F.lit(0)) + 1)
-    return F.when(F.count(value) == 0, F.array(F.lit(0.0), F.lit(1.0))).when(F.size(edges) < 2, single).otherwise(edges)
+    return F.when(quantiles.isNull(), F.array(F.lit(0.0), F.lit(1.0))).when(F.size(edges) < 2, single).otherwise(edges)
 
 
 def digitize(value: Column, edges: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import digitize, finite, quantile_edges, ratio
+from ..functions.numeric import digitize, finite, ratio
 from ..functions.text import collapse_whitespace, word_count
+from .quantiles import quantile_edges, quantiles, value_counts, values_at, with_quantiles
 from .scalars import with_scalars
 
 
@@ -22,7 +23,7 @@ def first_of_pairs(rows: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 def by_length_percentiles(rows: DataFrame, lower: float = 0.05, upper: float = 0.95, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows with a word count between the percentiles, both included; a row of cutoffs and counts)."""
     counted = rows.withColumn("n_words", word_count(text))
-    cutoffs = counted.agg(F.percentile("n_words", F.array(F.lit(lower), F.lit(upper))).alias("q")).select(F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))
+    cutoffs = quantiles(counted, F.col("n_words"), [lower, upper]).select(F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))
     judged = with_scalars(counted, cutoffs)
     kept = judged.where(F.col("n_words").between(F.col("lower"), F.col("upper"))).drop("lower", "upper")
     report = judged.agg(
@@ -42,7 +43,7 @@ def valid_perplexity(column: Column) -> Column:
 def by_perplexity_cutoff(rows: DataFrame, column: str = "perplexity_score") -> tuple[DataFrame, DataFrame]:
     """(rows at or below min(p90, q3 + 1.5 iqr) of the valid values; a row of the cutoff and counts)."""
     value = F.when(valid_perplexity(F.col(column)), F.col(column))
-    q = rows.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9))).alias("q"))
+    q = quantiles(rows, value, [0.25, 0.75, 0.9])
     fence = F.get("q", F.lit(1)) + 1.5 * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))
     cutoffs = q.select(fence.alias("upper_fence"), F.get("q", F.lit(2)).alias("p90"), F.least(F.get("q", F.lit(2)), fence).alias("cutoff"))
     judged = with_scalars(rows, cutoffs)
@@ -61,7 +62,7 @@ def by_perplexity_cutoff(rows: DataFrame, column: str = "perplexity_score") -> t
 
 def with_bins(rows: DataFrame, column: str, bins: int, name: str, edges_from: DataFrame | None = None) -> DataFrame:
     """rows with <name>: the quantile bin of a column, by the edges of another frame if given."""
-    edges = (edges_from if edges_from is not None else rows).agg(quantile_edges(F.col(column), bins).alias("_edges"))
+    edges = quantile_edges(edges_from if edges_from is not None else rows, column, bins, "_edges")
     return with_scalars(rows, edges).withColumn(name, digitize(F.col(column).cast("double"), F.col("_edges"))).drop("_edges")
 
 
@@ -75,22 +76,32 @@ def stratified_split(rows: DataFrame, key: Column, stratum_: Column, shares: tup
     In each stratum rows are in the order of a hash of the seed and their key,
     and a row's place decides; quotas of strata add up by running totals over
     the strata, so that the whole split is within a row of its shares. Strata
-    with fewer than `least` rows are trained on.
+    with fewer than `least` rows are trained on. Only hashes are ranked: the
+    hashes at which a stratum's parts begin are joined to the rows, which are
+    not shuffled.
     """
     train, val = shares
-    hashed = rows.withColumns({"_stratum": stratum_, "_hash": F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))})
-    sizes = hashed.groupBy("_stratum").agg(F.count("*").alias("_n"))
-    small = F.col("_n") < least
+    # 52 bits of the hash are exact in a double
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 13), 16, 10).cast("double")
+    hashed = rows.withColumns({"_stratum": stratum_, "_hash": place})
+    counts = value_counts(hashed, F.col("_hash"), ("_stratum",))
+    sizes = counts.groupBy("_stratum").agg(F.sum("_n").alias("_size"))
+    small = F.col("_size") < least
     # a row for each stratum: labels times bins
     order = Window.orderBy("_stratum")
-    upto = F.sum(F.when(small, 0).otherwise(F.col("_n"))).over(order)
-    before = upto - F.when(small, 0).otherwise(F.col("_n"))
+    upto = F.sum(F.when(small, 0).otherwise(F.col("_size"))).over(order)
+    before = upto - F.when(small, 0).otherwise(F.col("_size"))
     quota = lambda share: F.floor(upto * share + 0.5) - F.floor(before * share + 0.5)
-    quotas = sizes.select("_stratum", "_n", F.when(small, F.col("_n")).otherwise(quota(train)).alias("_train"), F.when(small, 0).otherwise(quota(val)).alias("_val"))
-    placed = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy("_stratum").orderBy("_hash")))
-    joined = placed.join(F.broadcast(quotas), "_stratum")
-    split = F.when(F.col("_rank") <= F.col("_train"), "train").when(F.col("_rank") <= F.col("_train") + F.col("_val"), "val").otherwise("test")
-    return joined.withColumn("split", split).withColumn("stratum", F.col("_stratum")).drop("_stratum", "_hash", "_n", "_train", "_val", "_rank")
+    quotas = sizes.select("_stratum", "_size", F.when(small, F.col("_size")).otherwise(quota(train)).alias("_train"), F.when(small, 0).otherwise(quota(val)).alias("_val"))
+    last = F.col("_size") - 1
+    ranks = F.array(F.least("_train", last), F.least(F.col("_train") + F.col("_val"), last)).cast("array<bigint>")
+    begins = with_quantiles(quotas, values_at(counts, quotas.select("_stratum", ranks.alias("_ranks")), ("_stratum",)), ("_stratum",))
+    # a part that no row begins starts beyond all hashes
+    part = lambda i, n: F.when(n >= F.col("_size"), float("inf")).otherwise(F.get("_at", F.lit(i)))
+    begins = begins.select("_stratum", part(0, F.col("_train")).alias("_val_from"), part(1, F.col("_train") + F.col("_val")).alias("_test_from"))
+    split = F.when(F.col("_hash") < F.col("_val_from"), "train").when(F.col("_hash") < F.col("_test_from"), "val").otherwise("test")
+    joined = with_quantiles(hashed, begins, ("_stratum",))
+    return joined.withColumn("split", split).withColumn("stratum", F.col("_stratum")).drop("_stratum", "_hash", "_val_from", "_test_from")
 
 
 def split_report(split: DataFrame, label: str = "label") -> DataFrame:
@@ -121,12 +132,44 @@ def class_ratio(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.agg(ones.alias("class1"), zeros.alias("class0"), F.round(ones / F.greatest(zeros, F.lit(1)), 10).alias("class1_to_class0"))
 
 
-def described(rows: DataFrame, column: str, *by: str) -> DataFrame:
-    """count, min, p25, median, mean, p75, p95, max, population std of a column."""
+QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+
+
+def described(rows: DataFrame, column: str, *by: str, shares: dict[str, float] = QUARTILES) -> DataFrame:
+    """count, min, the quantiles of shares, mean, max, population std of a column."""
     value = F.col(column).cast("double")
-    q = F.percentile(value, F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75, 0.95))))
-    parts = [F.count(value).alias("n"), F.min(value).alias("min"), *(F.round(F.get(q, F.lit(i)), 6).alias(n) for i, n in enumerate(("p25", "median", "p75", "p95"))), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"), F.round(F.stddev_pop(value), 6).alias("std")]
-    return rows.groupBy(*by).agg(*parts) if by else rows.agg(*parts)
+    parts = [F.count(value).alias("n"), F.min(value).alias("min"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"), F.round(F.stddev_pop(value), 6).alias("std")]
+    stats = rows.groupBy(*by).agg(*parts) if by else rows.agg(*parts)
+    found = quantiles(rows, value, list(shares.values()), by)
+    named = [F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(shares)]
+    return with_quantiles(stats, found, by).select(*by, "n", "min", *named, "mean", "max", "std")
+
+
+PROFILE = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def profiled(rows: DataFrame, dataset: str, perplexity: str = "perplexity_score", length: str = "n_words") -> DataFrame:
+    """dataset, metric and the profile of the valid perplexities and of the word counts: a row for each metric."""
+    value = F.when(valid_perplexity(F.col(perplexity)), F.col(perplexity))
+    one = described(rows.select(value.alias("v")), "v", shares=PROFILE).withColumn("metric", F.lit("perplexity"))
+    two = described(rows.select(F.col(length).alias("v")), "v", shares=PROFILE).withColumn("metric", F.lit("word_length"))
+    return one.unionByName(two).withColumn("dataset", F.lit(dataset))
+
+
+def invalid_counts(rows: DataFrame, dataset: str, perplexity: str = "perplexity_score") -> DataFrame:
+    """Rows and why their perplexities are not valid: missing, NaN, infinite, or not above 0."""
+    value = F.col(perplexity)
+    infinite, nan = F.abs(value) == float("inf"), F.isnan(value)
+    counts = {"rows_loaded": F.count("*"), "missing": F.count_if(value.isNull()), "nan": F.count_if(nan), "inf": F.count_if(infinite), "non_positive": F.count_if(finite(value) & (value <= 0)), "valid": F.count_if(valid_perplexity(value))}
+    return rows.agg(*(c.alias(n) for n, c in counts.items())).withColumn("dataset", F.lit(dataset))
+
+
+def class_cutoffs(rows: DataFrame, dataset: str, label: str = "label", perplexity: str = "perplexity_score", length: str = "n_words") -> DataFrame:
+    """dataset, metric, label, cutoff: the 95th percentile of valid perplexities and the 99th of word counts of each class."""
+    value = F.when(valid_perplexity(F.col(perplexity)), F.col(perplexity))
+    parts = [(quantiles(rows, value, [0.95], (label,)), "perplexity"), (quantiles(rows, F.col(length), [0.99], (label,)), "word_length")]
+    frames = [q.select(F.lit(dataset).alias("dataset"), F.lit(m).alias("metric"), F.col(label), F.round(F.get("q", F.lit(0)), 6).alias("cutoff")) for q, m in parts]
+    return frames[0].unionByName(frames[1])
 
 
 def quality_flags(rows: DataFrame, label: str = "label", short: int = 10, long: int = 500) -> DataFrame:
@@ -153,6 +196,7 @@ def quality_flags(rows: DataFrame, label: str = "label", short: int = 10, long:
     return out.withColumns({"pct_duplicate_text": F.round(F.col("n_duplicate_text") / n, 10), "pct_has_markup": F.round(F.col("n_has_markup") / n, 10)})
 
 
+# The bounds of the length buckets.
 LENGTH_BOUNDS = (0, 50, 100, 150, 200, 300, 500, 10_000)
 
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import digitize, quantile_edges, ratio
+from ..functions.numeric import digitize, ratio
 from ..functions.text import truncated
+from .quantiles import quantile_edges
 from .scalars import with_scalars
 
 METRICS = ("accuracy", "macro_f1", "weighted_f1", "precision", "recall", "f1", "precision_neg", "recall_neg", "f1_neg", "support_neg", "precision_pos", "recall_pos", "f1_pos", "support_pos")
@@ -75,12 +76,12 @@ def metrics_by_bin(rows: DataFrame, column: str, bins: int, edges_from: DataFram
     edges_from gives the frame whose quantiles bound the bins: train edges for
     all splits, or each frame's own.
     """
-    edges = (edges_from if edges_from is not None else rows).agg(quantile_edges(F.col(column), bins).alias("edges"))
+    edges = quantile_edges(edges_from if edges_from is not None else rows, column, bins)
     bounds = edges.select(F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("bin", "edge_low"), "edges").select("bin", "edge_low", F.get("edges", F.col("bin") + 1).alias("edge_high"))
     binned = with_scalars(rows, edges).withColumn("bin", digitize(F.col(column).cast("double"), F.col("edges"))).drop("edges").where("bin is not null")
     support = binned.groupBy("bin").agg(F.count("*").alias("support_total"))
     found = metrics_with_coverage(binned, "bin").join(support, "bin")
-    return bounds.join(F.broadcast(found), "bin", "left").fillna(0, ["support_total", "support_neg", "support_pos"])  # a row for each bin
+    return bounds.join(found, "bin", "left").fillna(0, ["support_total", "support_neg", "support_pos"])  # a row for each bin
 
 
 def runtime_summary(rows: DataFrame, elapsed_s: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow_text import normalized_text
-from ..functions.text import citation_count
+from ..functions.text import citation_count, reference_tag_count
 
 # Parts of names and comments that mark automated edits.
 BOT_MARKS = ("bot", "auto", "script", "crawler", "spider")
@@ -142,6 +142,28 @@ def citation_summary(stats: DataFrame) -> DataFrame:
     )
 
 
+def citation_recount(revisions: DataFrame) -> DataFrame:
+    """One row: stored citation counts against a plain recount of reference tags, and how many revisions differ."""
+    stored, again = F.coalesce(F.col("citation_count").cast("long"), F.lit(0)), reference_tag_count("raw_text")
+    counted = revisions.select(stored.alias("stored"), again.alias("recounted"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return counted.agg(F.count("*").alias("revisions"), total("stored"), total("recounted"), F.count_if(F.col("stored") != F.col("recounted")).alias("mismatches"))
+
+
+def of_first_pages(rows: DataFrame, most: int | None, zero: str = "all", page: str = "page_id") -> DataFrame:
+    """The rows of the first `most` pages by id; None is no limit. 0 is none either (`all`), or stands for 1 (`one`).
+
+    Both meanings of 0 are in use: preprocessing takes it for no limit, and
+    ranking looks at its limit only after a page is done.
+    """
+    if zero not in ("all", "one"):
+        raise ValueError(f"unknown meaning of zero: {zero}")
+    if most is None or (most == 0 and zero == "all"):
+        return rows
+    first = rows.select(page).distinct().orderBy(page).limit(max(1, most) if zero == "one" else most)
+    return rows.join(first, page, "left_semi")
+
+
 def top_pages(stats: DataFrame, k: int) -> DataFrame:
     """The k pages with most citations, ranked; k <= 0 gives none. Sorted by a top-k operator, never in full."""
     first = stats.orderBy(F.desc("total_citations"), F.desc("page_id")).limit(max(0, k))

@@ -21,6 +21,7 @@ from .history import safe_username
 
 @dataclass(frozen=True)
 class Config:
+    # The defaults of the method.
     scheme: str = "S2"
     alpha: float = 7.0
     max_iter: int = 100

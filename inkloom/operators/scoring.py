@@ -95,3 +95,69 @@ def with_answers(rows: DataFrame, factory: Callable[[], Callable[[list[str]], li
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")])
 
     return rows.withColumn("_answer", answered(prompt)).select(*rows.columns, "_answer.*")
+
+
+Tokenizer = Callable[[list[str]], list[list[int]]]
+
+
+def library_tokenizer(path: str) -> Callable[[], Tokenizer]:
+    """A factory of the tokenizer in a vocabulary file, special tokens included."""
+
+    def load() -> Tokenizer:
+        from tokenizers import Tokenizer as Library
+
+        tokenizer = Library.from_file(path)
+        return lambda texts: [e.ids for e in tokenizer.encode_batch(texts)]
+
+    return load
+
+
+def with_token_ids(rows: DataFrame, factory: Callable[[], Tokenizer], text: str = "text", most: int = 256, last: int | None = None) -> DataFrame:
+    """rows with input_ids and attention_mask: a model's tokens, cut at most ids.
+
+    last is an id that ends each text, also where it is cut. Texts are not
+    padded: that is done by batch where they are used.
+    """
+
+    @F.pandas_udf("array<int>")
+    def encoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = factory()
+        for part in parts:
+            ids = [list(i) for i in encode(part.fillna("").tolist())]
+            yield pd.Series([i[:most] if last is None or len(i) <= most else [*i[: most - 1], last] for i in ids])
+
+    ids = rows.withColumn("input_ids", encoded(text))
+    return ids.withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+
+
+def fine_tuned(train: DataFrame, trainer: Callable, columns: tuple[str, ...] = ("text", "label"), batch: int = 1024):
+    """What trainer returns for an iterator factory over batches of the columns (lists, in their order).
+
+    Batches come to the driver one partition at a time, as training on a single
+    machine takes them; an epoch is one call of the factory. The model is then
+    used by with_predictions() on all workers.
+    """
+
+    def batches():
+        held: list[list] = [[] for _ in columns]
+        for row in train.select(*columns).toLocalIterator(prefetchPartitions=False):
+            for values, value in zip(held, row):
+                values.append(value)
+            if len(held[0]) == batch:
+                yield tuple(held)
+                held = [[] for _ in columns]
+        if held[0]:
+            yield tuple(held)
+
+    return trainer(batches)
+
+
+def with_predictions(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "text", name: str = "logits") -> DataFrame:
+    """rows with a model's logits of each text; the model goes to the workers with the plan."""
+
+    @F.pandas_udf("array<double>")
+    def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([[float(x) for x in logits] for logits in model(part.fillna("").tolist())])
+
+    return rows.withColumn(name, predicted(text))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow_text, text as T
 
+# The least length of prose, and the category links that no prose holds.
 MIN_PARAGRAPH = 50
-#: Paragraphs that hold a category link are no prose.
 CATEGORY = r"\[\[Thể loại:.*?\]\]"
 
 Splitter = Callable[[Column], Column]

@@ -72,6 +72,7 @@ def run(spark: SparkSession, dump: str, bots: DataFrame, k: int) -> DataFrame:
     articles, _ = scores(page_histories(revisions))
     texts = history.latest_by_id(revisions, "raw_text", "ordinal").withColumn("page_id", F.col("page_id").cast("string"))
     chosen = select_articles(articles, texts, k).by_weight.select("page_id", "raw_text")
-    examples = labelled_sentences(chosen).withColumn("key", F.monotonically_increasing_id())
+    # texts and labels are unique together, so that a digest of them stays the same however often the plan is run
+    examples = labelled_sentences(chosen).withColumn("key", F.sha2(F.concat_ws(":", F.col("label").cast("string"), "text"), 256))
     final, _, _ = filtered_examples(unigram_perplexity(examples, "key"))
     return split_examples(final)

@@ -95,6 +95,12 @@ def hist_latest_revision(spark, d):
     return history.latest_by_id(_revisions(spark, d), "revision_id", "username")
 
 
+@query("hist_first_pages", "SELECT user_id AS page_id, event_id AS revision_id FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 20)")
+def hist_first_pages(spark, d):
+    rows = _revisions(spark, d)
+    return history.of_first_pages(rows, 20).select("page_id", "revision_id")
+
+
 @query("hist_bot_counts", "SELECT user_id AS page_id, count(*) AS revisions, count(*) FILTER (event_type = 'error') AS bot_revisions FROM events GROUP BY user_id")
 def hist_bot_counts(spark, d):
     return history.bot_counts(_revisions(spark, d))
@@ -138,6 +144,18 @@ def cite_summary(spark, d):
     return history.citation_summary(history.citation_stats(_revisions(spark, d)))
 
 
+@query(
+    "cite_recount",
+    """WITH t AS (SELECT doc_id, doc_id % 3 + 1 AS named, doc_id % 4 AS plain FROM documents)
+    SELECT count(*) AS revisions, sum(named + plain)::BIGINT AS stored, sum(named * 2 + plain)::BIGINT AS recounted, count(*) AS mismatches FROM t""",
+)
+def cite_recount(spark, d):
+    named = F.transform(F.sequence(F.lit(1), F.col("doc_id") % 3 + 1), lambda i: F.concat(F.lit('<ref name="n'), i, F.lit('">x</ref> <ref name="n'), i, F.lit('">y</ref> ')))
+    raw = F.concat(F.array_join(named, ""), F.col("text"), F.repeat(F.lit("<REF>z</REF> "), (F.col("doc_id") % 4).cast("int")))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), T.citation_count(raw).alias("citation_count"), raw.alias("raw_text"))
+    return history.citation_recount(rows)
+
+
 @query("cite_topk", f"SELECT page_id, total_citations, row_number() OVER (ORDER BY total_citations DESC, page_id DESC)::INTEGER AS rank FROM ({_CITES}) QUALIFY rank <= 10")
 def cite_topk(spark, d):
     return history.top_pages(history.citation_stats(_revisions(spark, d)), 10).select("page_id", "total_citations", "rank")
@@ -233,9 +251,42 @@ def select_stats(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("quality_score_median", "quality_score_mean", "citation_count_mean")})
 
 
-@query("select_ties", f"SELECT cutoff, count(*) AS ties FROM ({_ARTICLES}), (SELECT min(citation_count) AS cutoff FROM ({_METHOD1})) WHERE citation_count = cutoff GROUP BY cutoff")
+_POOL = f"SELECT * FROM (SELECT *, rank() OVER (ORDER BY quality_score DESC) AS place FROM ({_ARTICLES})) WHERE place <= {K}"
+
+
+@query("select_ties", f"SELECT cutoff, count(*) AS ties FROM ({_POOL}), (SELECT min(citation_count) AS cutoff FROM ({_METHOD1})) WHERE citation_count = cutoff GROUP BY cutoff")
 def select_ties(spark, d):
-    return selection.ties_at_cutoff(_articles(spark, d), select_method1(spark, d), "citation_count")
+    return selection.ties_at_cutoff(selection.quality_pool(_articles(spark, d), K), select_method1(spark, d), "citation_count")
+
+
+_FINAL = f"SELECT a.*, round(0.7 * (quality_score - mq) / sq + 0.3 * (citation_count - mc) / sc, 10) AS final_score FROM ({_ARTICLES}) a, (SELECT avg(quality_score) AS mq, stddev_pop(quality_score) AS sq, avg(citation_count) AS mc, stddev_pop(citation_count) AS sc FROM ({_ARTICLES}))"
+_FOUND = "(SELECT count(*) FROM ({m}) WHERE CAST(page_id AS BIGINT) < 40)"
+
+
+@query(
+    "selection_report",
+    f"""WITH a AS ({_ARTICLES}), p AS ({_POOL}), m1 AS ({_METHOD1}), m2 AS ({_METHOD2}), f AS ({_FINAL})
+    SELECT (SELECT count(*) FROM a) AS total_rows, {K} AS top_k, (SELECT min(quality_score) FROM p) AS m1_quality_cutoff, (SELECT count(*) FROM p) AS m1_quality_pool_size, (SELECT min(citation_count) FROM m1) AS m1_citation_cutoff_in_selected,
+      (SELECT count(*) FROM p WHERE citation_count = (SELECT min(citation_count) FROM m1)) AS m1_citation_ties_at_cutoff_in_pool,
+      (SELECT count(*) FROM m1 JOIN m2 USING (page_id)) AS intersection_count, round((SELECT count(*) FROM m1 JOIN m2 USING (page_id)) / {K}.0, 6)::DOUBLE AS intersection_ratio_vs_topk,
+      0.7::DOUBLE AS m2_weight_quality_normalized, 0.3::DOUBLE AS m2_weight_citation_normalized, (SELECT round(avg(quality_score), 6) FROM a) AS m2_quality_mean_all, (SELECT round(stddev_pop(quality_score), 6) FROM a) AS m2_quality_std_all,
+      (SELECT round(avg(citation_count), 6) FROM a) AS m2_citation_mean_all, (SELECT round(stddev_pop(citation_count), 6) FROM a) AS m2_citation_std_all,
+      (SELECT round(min(final_score), 6) FROM m2) AS m2_final_score_cutoff, (SELECT count(*) FROM f WHERE final_score = (SELECT min(final_score) FROM m2)) AS m2_final_score_ties_at_cutoff,
+      (SELECT round(avg(quality_score), 6) FROM m1) AS m1_selected_quality_mean, (SELECT round(quantile_cont(quality_score, 0.5), 6) FROM m1) AS m1_selected_quality_median,
+      (SELECT round(avg(citation_count), 6) FROM m1) AS m1_selected_citation_mean, (SELECT quantile_cont(citation_count, 0.5)::DOUBLE FROM m1) AS m1_selected_citation_median,
+      (SELECT round(avg(quality_score), 6) FROM m2) AS m2_selected_quality_mean, (SELECT round(quantile_cont(quality_score, 0.5), 6) FROM m2) AS m2_selected_quality_median,
+      (SELECT round(avg(citation_count), 6) FROM m2) AS m2_selected_citation_mean, (SELECT quantile_cont(citation_count, 0.5)::DOUBLE FROM m2) AS m2_selected_citation_median,
+      (SELECT round(avg(final_score), 6) FROM m2) AS m2_selected_final_mean, (SELECT round(quantile_cont(final_score, 0.5), 6) FROM m2) AS m2_selected_final_median,
+      {_FOUND.format(m=_METHOD1)} AS m1_raw_text_found_count, round({_FOUND.format(m=_METHOD1)} / {K}.0, 6)::DOUBLE AS m1_raw_text_found_ratio,
+      {_FOUND.format(m=_METHOD2)} AS m2_raw_text_found_count, round({_FOUND.format(m=_METHOD2)} / {K}.0, 6)::DOUBLE AS m2_raw_text_found_ratio""",
+)
+def selection_report(spark, d):
+    rows = _articles(spark, d)
+    texts = table(spark, d, "documents").select((F.col("doc_id") % 40).cast("string").alias("page_id"), F.col("doc_id").alias("ordinal"), F.col("text").alias("raw_text"))
+    one = selection.with_raw_text(selection.by_quality_then_citations(rows, K), texts)
+    two = selection.with_raw_text(selection.by_weighted_z(rows, K), texts)
+    out = selection.selection_report(rows, one, two, K)
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
 @query(
@@ -377,6 +428,49 @@ def price_describe(spark, d):
     return curate.described(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
 
 
+_SCORED = f"SELECT doc_id, label, ppl, {_WORDS} AS n_words FROM ({_EXAMPLES}) JOIN ({_PPL}) USING (doc_id)"
+_FILTERED = f"SELECT s.* FROM ({_SCORED}) s, (SELECT quantile_cont(ppl, 0.9) AS p90, quantile_cont(ppl, 0.75) + 1.5 * (quantile_cont(ppl, 0.75) - quantile_cont(ppl, 0.25)) AS fence FROM ({_SCORED}) WHERE {_VALID}) WHERE {_VALID} AND ppl <= least(p90, fence)"
+_BOTH = (("before_filtering", _SCORED), ("after_filtering", _FILTERED))
+
+
+def _scored(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    rows = _examples(spark, d).select("doc_id", "label", T.word_count("text").alias("n_words")).join(_with_perplexity(spark, d), "doc_id")
+    return {"before_filtering": rows, "after_filtering": curate.by_perplexity_cutoff(rows)[0]}
+
+
+def _profile_sql(name: str, source: str, metric: str, column: str, where: str = "true") -> str:
+    shares = ", ".join(f"round(quantile_cont({column}, {q}), 6)::DOUBLE AS {n}" for n, q in curate.PROFILE.items())
+    return f"SELECT '{name}' AS dataset, '{metric}' AS metric, count(*) AS n, min({column})::DOUBLE AS min, {shares}, round(avg({column}), 6) AS mean, max({column})::DOUBLE AS max, round(stddev_pop({column}), 6) AS std FROM ({source}) WHERE {where}"
+
+
+@query("eda_before_after", " UNION ALL ".join(q for n, s in _BOTH for q in (_profile_sql(n, s, "perplexity", "ppl", _VALID), _profile_sql(n, s, "word_length", "n_words"))))
+def eda_before_after(spark, d):
+    return evaluate.union_all([curate.profiled(rows, name) for name, rows in _scored(spark, d).items()])
+
+
+@query(
+    "eda_invalid_perplexity",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS dataset, count(*) AS rows_loaded, count(*) FILTER (ppl IS NULL) AS missing, count(*) FILTER (isnan(ppl)) AS nan, count(*) FILTER (isinf(ppl)) AS inf, count(*) FILTER (isfinite(ppl) AND ppl <= 0) AS non_positive, count(*) FILTER ({_VALID}) AS valid FROM ({s})"
+        for n, s in _BOTH
+    ),
+)
+def eda_invalid_perplexity(spark, d):
+    return evaluate.union_all([curate.invalid_counts(rows, name) for name, rows in _scored(spark, d).items()])
+
+
+@query(
+    "eda_class_cutoffs",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS dataset, '{m}' AS metric, label, round(quantile_cont({c}, {q}), 6)::DOUBLE AS cutoff FROM ({s}) WHERE {w} GROUP BY label"
+        for n, s in _BOTH
+        for m, c, q, w in (("perplexity", "ppl", 0.95, _VALID), ("word_length", "n_words", 0.99, "true"))
+    ),
+)
+def eda_class_cutoffs(spark, d):
+    return evaluate.union_all([curate.class_cutoffs(rows, name) for name, rows in _scored(spark, d).items()])
+
+
 _TIDY = f"trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))"
 
 
@@ -617,12 +711,12 @@ def txt_strip_tags(spark, d):
 
 @query("txt_templates", "SELECT doc_id, text || '}}tail' AS text FROM documents")
 def txt_templates(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.remove_templates(F.concat(F.lit("{{a{{b}}c}}"), "text", F.lit("}}tail{{open"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", arrow_text.without_templates(F.concat(F.lit("{{a{{b}}c}}"), "text", F.lit("}}tail{{open"))).alias("text"))
 
 
 @query("txt_tables", "SELECT doc_id, text || 'x' AS text FROM documents")
 def txt_tables(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.remove_tables(F.concat(F.lit("{|a{|b|}c|}"), "text", F.lit("{|r|}x"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", arrow_text.without_tables(F.concat(F.lit("{|a{|b|}c|}"), "text", F.lit("{|r|}x"))).alias("text"))
 
 
 @query("txt_files", "SELECT doc_id, 'a [[b]] ' || text AS text FROM documents")
@@ -641,9 +735,9 @@ def txt_links(spark, d):
     return table(spark, d, "documents").select("doc_id", T.link_text(T.remove_emphasis(F.concat(F.lit("'''see''' [[a|b| name ]] ''and'' [[page]]"), "text"))).alias("text"))
 
 
-@query("txt_sections", "SELECT doc_id, 'Head ' || doc_id AS heading, 'rest' AS rest FROM documents")
+@query("txt_sections", r"SELECT doc_id, 'Head ' || doc_id AS heading, regexp_replace(text, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS rest FROM documents")
 def txt_sections(spark, d):
-    block = F.concat(F.lit("== Head "), F.col("doc_id"), F.lit(" ==\nrest"))
+    block = F.concat(F.lit("== Head "), F.col("doc_id"), F.lit(" ==\n"), "text")
     return table(spark, d, "documents").select("doc_id", T.heading(block).alias("heading"), T.after_heading(block).alias("rest"))
 
 
@@ -657,7 +751,15 @@ def txt_paragraphs(spark, d):
     return sentences.page_paragraphs(pages).select(F.col("page_id").alias("doc_id"), "paragraph_id", "header", "text_raw")
 
 
-@query("sent_split")
+_INLINE = r"regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t\r\f\x0B]+', ' ', 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
+
+
+@query(
+    "sent_split",
+    rf"""WITH t AS (SELECT doc_id, regexp_replace({_INLINE}, '([.!?…]["''”’)\]]*)[\s\x0B]+(["''“‘(\[]?[\p{{Lu}}\p{{N}}])', '\1' || chr(10) || '\2', 'g') AS ended FROM documents),
+      s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(ended, '\n+'), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x <> '') AS l FROM t)
+    SELECT doc_id, (i - 1)::INTEGER AS index, l[i] AS sentence FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)""",
+)
 def sent_split(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(sentences.split_sentences(T.tidy_inline("text"))).alias("index", "sentence"))
     return rows
@@ -665,14 +767,14 @@ def sent_split(spark, d):
 
 @query(
     "sent_citation_attr",
-    "SELECT doc_id, i AS index, 'S' || i || ' of ' || doc_id || '.' AS text, i = doc_id % 3 OR (i = 2 AND doc_id % 2 = 0) AS has_citation FROM documents, (VALUES (0), (1), (2)) v(i)",
+    """SELECT doc_id, 0 AS index, text, doc_id % 2 = 1 AS has_citation FROM documents UNION ALL
+    SELECT doc_id, 1, 'Last of ' || doc_id || '.', doc_id % 3 = 0 FROM documents""",
 )
 def sent_citation_attr(spark, d):
     doc = F.col("doc_id")
-    one = lambda i: F.concat(F.lit(f"S{i} of "), doc, F.lit("."))
-    cited = lambda i: F.when(doc % 3 == i, F.concat(one(i), F.lit("<ref>r</ref>"))).otherwise(one(i))
-    raw = F.concat(cited(0), F.lit(" "), cited(1), F.lit(" "), cited(2), F.when(doc % 2 == 0, " [12]").otherwise(""))
-    rows = table(spark, d, "documents").select("doc_id", sentences.attributed(raw, F.array(one(0), one(1), one(2))).alias("s"))
+    last = F.concat(F.lit("Last of "), doc, F.lit("."))
+    raw = F.concat("text", F.when(doc % 2 == 1, "<ref>r</ref>").otherwise(""), F.lit(" "), last, F.when(doc % 3 == 0, " [12]").otherwise(""))
+    rows = table(spark, d, "documents").select("doc_id", sentences.attributed(raw, F.array("text", last)).alias("s"))
     return rows.select("doc_id", F.inline("s"))
 
 
@@ -690,18 +792,18 @@ def ngram_ppl(spark, d):
 TEMPLATE = {"task": "Decide whether a sentence states a fact that can be checked.", "instruction": "Use the examples.", "rule": "Answer 0 or 1.", "input": "Sentence", "label": "Label"}
 _SHORT = "CASE WHEN length(text) <= {n} THEN text ELSE rtrim(left(text, {n} - 3), ' ' || chr(10) || chr(13) || chr(9)) || '...' END"
 _BLOCK = f"""SELECT 'Examples' || chr(10) || string_agg('[' || r || '] text: ' || x || chr(10) || '[' || r || '] label: ' || y, chr(10) ORDER BY r) AS b FROM (
-      SELECT row_number() OVER (ORDER BY item_id) AS r, {_SHORT.format(n=60)} AS x, item_id % 2 AS y FROM benchmark QUALIFY r <= 4)"""
+      SELECT row_number() OVER (ORDER BY item_id) AS r, {_SHORT.format(n=240)} AS x, item_id % 2 AS y FROM benchmark QUALIFY r <= 4)"""
 
 
 @query(
     "prompt_build",
-    f"""SELECT doc_id, '{TEMPLATE['task']}' || chr(10) || '{TEMPLATE['instruction']}' || chr(10) || '{TEMPLATE['rule']}' || chr(10) || chr(10) || b || chr(10) || chr(10) || 'Sentence: ' || {_SHORT.format(n=120)} || chr(10) || 'Label: ' AS prompt
+    f"""SELECT doc_id, '{TEMPLATE['task']}' || chr(10) || '{TEMPLATE['instruction']}' || chr(10) || '{TEMPLATE['rule']}' || chr(10) || chr(10) || b || chr(10) || chr(10) || 'Sentence: ' || {_SHORT.format(n=1400)} || chr(10) || 'Label: ' AS prompt
     FROM documents, ({_BLOCK})""",
 )
 def prompt_build(spark, d):
     pool = table(spark, d, "benchmark").select(F.col("item_id").alias("ordinal"), "text", (F.col("item_id") % 2).alias("label"))
-    examples = evaluate.example_block(evaluate.exemplars(pool, evaluate_shots("shot_4"), 60), "Examples")
-    return evaluate.with_prompt(table(spark, d, "documents").select("doc_id", "text"), TEMPLATE, examples, 120).select("doc_id", "prompt")
+    examples = evaluate.example_block(evaluate.exemplars(pool, evaluate_shots("shot_4"), 240), "Examples")
+    return evaluate.with_prompt(table(spark, d, "documents").select("doc_id", "text"), TEMPLATE, examples, 1400).select("doc_id", "prompt")
 
 
 def evaluate_shots(mode: str) -> int:

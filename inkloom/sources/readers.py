@@ -14,8 +14,11 @@ from ..functions.text import model_text, strip, word_count
 from . import schemas
 
 
-def listed(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".bz2",)) -> list[str]:
-    """Files of a folder with one of the suffixes, by name; the path itself if it is a file. Raises if there is none."""
+def listed(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".bz2",), most: int | None = None) -> list[str]:
+    """Files of a folder with one of the suffixes, by name; the path itself if it is a file. Raises if there is none.
+
+    most: no more than so many, the first ones (0 or None: all).
+    """
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not store.exists(where):
@@ -24,7 +27,7 @@ def listed(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".bz2",)
     out = sorted(str(p) for p in found if p.getName().endswith(suffixes))
     if not out:
         raise FileNotFoundError(f"{path} has no {' or '.join(suffixes)} file")
-    return out
+    return out[:most] if most else out
 
 
 def resolved(spark: SparkSession, explicit: str | None, candidates: list[str]) -> str:
@@ -50,9 +53,12 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, policy:
     return reader.schema(schema).json(path)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """CSV with a header, doubled quotes and line breaks in values; raises for missing columns or no rows."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").option("maxCharsPerColumn", -1)
+def read_csv(spark: SparkSession, path: str | list[str], schema: str, required: tuple[str, ...] = (), multiline: bool = True) -> DataFrame:
+    """CSV with a header, doubled quotes and line breaks in values; raises for missing columns or no rows.
+
+    Without multiline, where no value has a line break, large files are split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("mode", "FAILFAST").option("maxCharsPerColumn", -1)
     header = reader.csv(path).columns
     missing = [c for c in required if c not in header]
     if missing:
@@ -80,7 +86,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
     counts = lines.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
     starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))
-    joined = lines.join(F.broadcast(starts), "_part")
+    joined = lines.join(starts, "_part")
     return joined.select(F.col("value").alias("line"), (F.col("_id") - F.col("first") + F.col("start") + 1).alias("source_line"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import arrow_text, numeric
 from inkloom.functions import text as T
+from inkloom.operators.quantiles import quantile_edges
 
 
 def one(spark, column, value, kind="string"):
@@ -113,12 +114,12 @@ def test_decay_rejects_unknown_schemes(spark):
 
 def test_quantile_edges_and_bins(spark):
     rows = spark.createDataFrame([(float(x),) for x in (1, 2, 10)] + [(float("nan"),), (float("inf"),), (None,)], "x double")
-    edges = rows.agg(numeric.quantile_edges(F.col("x"), 2).alias("e")).first().e
-    assert edges == [1, 2, 10]
-    bins = rows.select("x", numeric.digitize(F.col("x"), F.array(*map(F.lit, edges))).alias("b")).collect()
+    edges = lambda frame, bins: quantile_edges(frame, "x", bins).first().edges
+    assert edges(rows, 2) == [1, 2, 10]
+    bins = rows.select("x", numeric.digitize(F.col("x"), F.array(*map(F.lit, edges(rows, 2)))).alias("b")).collect()
     assert [r.b for r in bins] == [0, 1, 1, None, None, None]
-    assert rows.where("x = 2").agg(numeric.quantile_edges(F.col("x"), 5).alias("e")).first().e == [1, 3]
-    assert rows.where("x is null").agg(numeric.quantile_edges(F.col("x"), 5).alias("e")).first().e == [0, 1]
+    assert edges(rows.where("x = 2"), 5) == [1, 3]
+    assert edges(rows.where("x is null"), 5) == [0, 1]
     assert one(spark, lambda c: numeric.noisy_or(c), [0.5, 0.5], "array<double>") == 0.75
 
 
