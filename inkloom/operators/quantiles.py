@@ -67,7 +67,11 @@ def values_at(counts: DataFrame, groups: DataFrame, by: tuple[str, ...] = ()) ->
 
 
 def quantiles(rows: DataFrame, value: Column, shares: list[float], by: tuple[str, ...] = (), name: str = "q") -> DataFrame:
-    """by, name: the linearly interpolated quantiles of a value, an array; without values it is null. One row without by."""
+    """by, name: the linearly interpolated quantiles of a value, an array; without values it is null.
+
+    Without by it is one row, which is computed at once: left to the plan, each
+    step that builds on quantiles of the last one would repeat all before it.
+    """
     counts = value_counts(rows, value, by)
     sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
     place = [F.col("_size") - 1 if s == 1 else (F.col("_size") - 1) * F.lit(float(s)) for s in shares]
@@ -79,7 +83,8 @@ def quantiles(rows: DataFrame, value: Column, shares: list[float], by: tuple[str
         low, high = F.get("_at", F.lit(2 * i)), F.get("_at", F.lit(2 * i + 1))
         return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
 
-    return found.select(*by, F.when(F.size("_at") > 0, F.array(*(between(i, p) for i, p in enumerate(place)))).alias(name))
+    out = found.select(*by, F.when(F.size("_at") > 0, F.array(*(between(i, p) for i, p in enumerate(place)))).alias(name))
+    return out if by else rows.sparkSession.createDataFrame([tuple(out.first())], f"{name} array<double>")
 
 
 def with_quantiles(stats: DataFrame, found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
