@@ -45,7 +45,7 @@ GRAM = 100
 LABEL_ROWS = 512
 _CHUNK = 1 << 20  # windows of a text that are hashed at once
 _PACKED = 7  # bytes of the first ranks: 257^7 fits into 63 bits
-_BATCH = 2 << 20  # bytes whose suffixes are ordered at once
+_BATCH = 1 << 20  # bytes whose suffixes are ordered at once
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
