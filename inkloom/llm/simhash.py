@@ -21,7 +21,9 @@ two sets that are similar enough share a shingle among the first few of both
 (prefix filter). In both, a bit map of each set, whose bits are the parities of
 its hashes, bounds from below how many members two sets do not share, so that
 only pairs that may be similar are held against their texts. The second search
-takes a spanning forest of its candidates first, and all that are left apart then.
+takes a spanning forest of its candidates first, and all that are left apart then;
+its rows carry bit maps of SHORT_BITS at most, since a set has a row for each of
+its first shingles, and the whole maps judge the distinct pairs that come out.
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other;
 texts of one or two words have one shingle; repeated rows and ids are kept, each
@@ -52,6 +54,8 @@ _STEP, _WIDTH = 256, 1 << 16  # rows and columns of blocks that are compared at
 #: found by the second.
 WIDE_RADIUS = 11
 SET_SHINGLE = 5
+#: Bits of a set's bit map at most where it is shipped with each of the set's shingles.
+SHORT_BITS = 512
 #: Sets of a block of those that share a shingle.
 TOKEN_BLOCK = 2048
 #: About so many documents are read to see which shingles are common, and so many shingles are listed at most. The list
@@ -91,9 +95,10 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(bits), bitorder="little").view("<i8")[0])
 
 
-def parities(hashes: np.ndarray) -> bytes:
-    """A bit map of about a bit for each member: bit i is the parity of the number of hashes that are i modulo its size."""
+def parities(hashes: np.ndarray, most: int | None = None) -> bytes:
+    """A bit map of about a bit for each member, of most bits at most: bit i is the parity of the number of hashes that are i modulo its size."""
     size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    size = min(size, most or size)
     counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -167,7 +172,7 @@ def names_of(doc_id: str, text: str) -> list:
 
 
 def signatures(docs: DataFrame, similarity: float, width: int = SHINGLE) -> DataFrame:
-    """row, mark, doc_id, fp, and of the five-word shingles: a hash of the set (key), its bit map, its size n and the first of it that sharing() needs."""
+    """row, mark, doc_id, fp, and of the five-word shingles: a hash of the set (key), its bit map whole and short, its size n and the first of it that sharing() needs."""
     listed = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def hashed(batches):
@@ -179,10 +184,10 @@ def signatures(docs: DataFrame, similarity: float, width: int = SHINGLE) -> Data
                 some = np.where(sizes > 0, sizes - np.ceil(sizes * similarity - 1e-9).astype(np.int32) + 1, 0)
                 first = np.concatenate([rarest_first(h, common, counts)[:k] for h, k in zip(sets, some.tolist())]).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
-                columns = [*(part.column(c) for c in ("row", "mark", "doc_id")), pa.array([fingerprint(t, width) for t in texts], pa.int64()), _keys(sets), pa.array([parities(h) for h in sets], pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(first))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "mark", "doc_id", "fp", "key", "bits", "n", "first"])
+                columns = [*(part.column(c) for c in ("row", "mark", "doc_id")), pa.array([fingerprint(t, width) for t in texts], pa.int64()), _keys(sets), pa.array([parities(h) for h in sets], pa.binary()), pa.array([parities(h, SHORT_BITS) for h in sets], pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(first))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "mark", "doc_id", "fp", "key", "bits", "short", "n", "first"])
 
-    schema = "row long, mark int, doc_id long, fp long, key long, bits binary, n int, first array<long>"
+    schema = "row long, mark int, doc_id long, fp long, key long, bits binary, short binary, n int, first array<long>"
     return named(docs, "doc_id").select("row", "mark", "doc_id", "text").mapInArrow(hashed, schema)
 
 
@@ -408,7 +413,7 @@ def _meetings(similarity: float, sparing: bool):
         held: list[tuple] = []
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for row in zip(*(batch.column(c).to_pylist() for c in ("token", "one", "two", "key", "class", "n", "bits", "side"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("token", "one", "two", "key", "class", "n", "short", "side"))):
                 if held and row[:3] != held[0][:3]:
                     found |= group(held)
                     held = []
@@ -431,20 +436,33 @@ def sharing(tokens: DataFrame, distinct: DataFrame, classes: DataFrame, similari
     None that has it is left out, or, with sparing, only those that others tie
     up. Tokens of very many sets are cut into blocks, which meet in pairs.
     """
-    of_key = distinct.select("key", "n", "bits").join(classes.withColumnRenamed("id", "key"), "key", "left").withColumn("class", F.coalesce("component", "key")).drop("component")
+    of_key = distinct.select("key", "n", "short").join(classes.withColumnRenamed("id", "key"), "key", "left").withColumn("class", F.coalesce("component", "key")).drop("component")
     rows = materialize(tokens.join(of_key, "key"), "rows")
     across = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("sets")).where("low < high")
     across = materialize(across.select("token", F.ceil(F.col("sets") / block).cast("int").alias("blocks")), "across")
     live = rows.join(across, "token").withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     live = live.withColumn("it", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") <= F.col("it"), 0).otherwise(1)
-    live = live.select("token", F.least("mine", "it").alias("one"), F.greatest("mine", "it").alias("two"), "key", "class", "n", "bits", side.alias("side"))
+    live = live.select("token", F.least("mine", "it").alias("one"), F.greatest("mine", "it").alias("two"), "key", "class", "n", "short", side.alias("side"))
     met = live.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(_meetings(similarity, sparing), "u long, v long")
-    found = materialize(met.distinct(), "sharing")
-    discard(rows, across)
+    met = materialize(met.distinct(), "met")
+    found = materialize(_still_similar(met, distinct, similarity), "sharing")
+    discard(rows, across, met)
     return found
 
 
+def _still_similar(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v; each once) that may be similar by the whole bit maps."""
+
+    def judge(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("u", "v", "bits_u", "n_u", "bits_v", "n_v")]
+            yield _pairs({(u, v) for u, v, *maps in zip(*columns) if may_be_similar(*maps, similarity)})
+
+    of = lambda k: distinct.select(F.col("key").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(judge, "u long, v long")
+
+
 def exactly(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v; a stored table) of keys whose sets have the similarity."""
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
@@ -460,8 +478,8 @@ def exactly(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, similarity:
 def similar_sets(docs: DataFrame, similarity: float, width: int = SHINGLE, radius: int = WIDE_RADIUS, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, sets, classes of sets) by all links of at least the similarity: tables of signatures(), of a row for each key, and (id, component)."""
     signed = materialize(signatures(docs, similarity, width), "signatures")
-    first = F.min(F.struct("doc_id", "row", "mark", "fp", "n", "bits")).alias("_")
-    distinct = materialize(signed.groupBy("key").agg(first, F.min("doc_id").alias("doc_id")).select("key", "doc_id", "_.row", "_.mark", "_.fp", "_.n", "_.bits"), "distinct")
+    first = F.min(F.struct("doc_id", "row", "mark", "fp", "n", "bits", "short")).alias("_")
+    distinct = materialize(signed.groupBy("key").agg(first, F.min("doc_id").alias("doc_id")).select("key", "doc_id", "_.row", "_.mark", "_.fp", "_.n", "_.bits", "_.short"), "distinct")
     found = exactly(likely_links(signed, distinct, similarity, radius, block), docs, distinct, similarity)
     tokens, classes = shared(signed), connected_components(found)
     for sparing in (True, False):
