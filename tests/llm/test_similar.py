@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 from pyspark.sql import functions as F
 
 from inkloom.llm import simhash
@@ -91,3 +92,23 @@ def test_mixed_edits_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
     assert simhash.near_duplicates(docs, similarity=0.8).schema == simhash.near_duplicates(docs).schema
     assert simhash.near_duplicates(docs.where(F.lit(False)), similarity=0.8).count() == 0
+
+
+def test_short_bit_maps_are_folded_whole_ones_and_lose_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 64, 65, 511, 512, 513, 3000, 20000):
+        both = rng.integers(0, 2**64, n, np.uint64)
+        whole, short = simhash.parities(both), simhash.parities(both, simhash.SHORT_BITS)
+        assert len(short) == min(len(whole), simhash.SHORT_BITS // 8)
+        assert simhash.folded(whole, len(short)) == int.from_bytes(short, "little")
+        # n in common and n // 4 of one alone: 0.8 or a little more
+        more = np.concatenate([both, rng.integers(0, 2**64, n // 4, np.uint64)])
+        longer = simhash.parities(more, simhash.SHORT_BITS)
+        assert simhash.may_be_similar(short, n, longer, len(more), 0.8)
+        assert simhash.may_be_similar(whole, n, simhash.parities(more), len(more), 0.8)
+        # long sets cannot be told apart by short maps, but by whole ones
+        other = rng.integers(0, 2**64, n, np.uint64)
+        if n >= 64:
+            assert not simhash.may_be_similar(whole, n, simhash.parities(other), n, 0.8)
+        if n >= 3000:
+            assert simhash.may_be_similar(short, n, simhash.parities(other, simhash.SHORT_BITS), n, 0.8)
