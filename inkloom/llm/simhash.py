@@ -24,6 +24,10 @@ only pairs that may be similar are held against their texts. The second search
 takes a spanning forest of its candidates first, and all that are left apart then;
 its rows carry bit maps of SHORT_BITS at most, since a set has a row for each of
 its first shingles, and the whole maps judge the distinct pairs that come out.
+Shingles that the same sets have are one group there, named by the first of them,
+and a pair is passed by where too little is left of either set after the shingle
+that it meets at. Where candidates are many more than sets, each set is held
+against one other first, and only pairs that are still apart are read after that.
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other;
 texts of one or two words have one shingle; repeated rows and ids are kept, each
@@ -62,6 +66,8 @@ TOKEN_BLOCK = 2048
 #: only puts common shingles last in the order of the sets; which links are found does not depend on it.
 COMMON_DOCS = 20_000
 COMMON_SHINGLES = 200_000
+#: Candidates for each set beyond which most are expected to be tied up by a few of them.
+MANY_PAIRS = 3
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -374,29 +380,38 @@ def likely_links(signed: DataFrame, distinct: DataFrame, similarity: float, radi
 
 
 def shared(signed: DataFrame) -> DataFrame:
-    """(token, key) of the shingles among the first of several sets: two sets of n and m members with the similarity s have
-    ceil(s * n) in common at least, so that one of the first n - ceil(s * n) + 1 of either is shared."""
-    heads = signed.select("key", F.explode("first").alias("token"))
+    """(token, key, at: its place in the set) of the shingles among the first of several sets: two sets of n and m members with the similarity s have
+    ceil(s * n) in common at least, so that one of the first n - ceil(s * n) + 1 of either is shared.
+
+    Of shingles that the very same sets have among their first, the one that comes first in the order stands for all.
+    """
+    heads = signed.select("key", F.posexplode("first").alias("at", "token"))
     several = materialize(heads.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token"), "several")
-    out = materialize(heads.join(several, "token").distinct(), "shared")
-    discard(several)
+    every = materialize(heads.join(several, "token").distinct(), "every")
+    groups = every.groupBy("token").agg(F.min("at").alias("at"), F.count("*").alias("sets"), *(F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"names_{i}") for i in (0, 1)))
+    leading = groups.groupBy("sets", "names_0", "names_1").agg(F.min(F.struct("at", "token")).alias("first")).select("first.token")
+    out = materialize(every.join(leading, "token"), "shared")
+    discard(several, every)
     return out
 
 
 def _meetings(similarity: float, sparing: bool):
-    """Pairs of sets of different classes that may be similar, of rows in the order of their token and pair of blocks."""
+    """Pairs of sets of different classes that may be similar, of rows in the order of their token, pair of blocks and key."""
 
     def group(rows: list[tuple]) -> set[tuple[int, int]]:
-        key, label, n, side = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 7))
+        key, label, n, side, at = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 7, 8))
+        after = n - at - 1
         bits = [r[6] for r in rows]
         names, label = np.unique(label, return_inverse=True)
         forest, out = Forest(len(names)), set()
         both = set(side.tolist()) == {0, 1}
         left = np.flatnonzero(side == 0) if both else np.arange(len(rows))
         right = np.flatnonzero(side == 1) if both else np.arange(len(rows))
-        for at in range(0, len(left), _STEP):
-            i = left[at : at + _STEP]
+        for begin in range(0, len(left), _STEP):
+            i = left[begin : begin + _STEP]
             fit = (label[i][:, None] != label[right][None, :]) & (np.minimum(n[i][:, None], n[right][None, :]) >= similarity * np.maximum(n[i][:, None], n[right][None, :]) - 1e-6)
+            # at the first shingle that two sets share, no more can be shared than what comes after it
+            fit &= 1 + np.minimum(after[i][:, None], after[right][None, :]) >= (n[i][:, None] + n[right][None, :]) * (similarity / (1 + similarity)) - 1e-6
             if not both:
                 fit &= key[i][:, None] < key[right][None, :]
             for a, b in zip(*(x.tolist() for x in np.nonzero(fit))):
@@ -413,7 +428,7 @@ def _meetings(similarity: float, sparing: bool):
         held: list[tuple] = []
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for row in zip(*(batch.column(c).to_pylist() for c in ("token", "one", "two", "key", "class", "n", "short", "side"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("token", "one", "two", "key", "class", "n", "short", "side", "at"))):
                 if held and row[:3] != held[0][:3]:
                     found |= group(held)
                     held = []
@@ -443,8 +458,9 @@ def sharing(tokens: DataFrame, distinct: DataFrame, classes: DataFrame, similari
     live = rows.join(across, "token").withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     live = live.withColumn("it", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") <= F.col("it"), 0).otherwise(1)
-    live = live.select("token", F.least("mine", "it").alias("one"), F.greatest("mine", "it").alias("two"), "key", "class", "n", "short", side.alias("side"))
-    met = live.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(_meetings(similarity, sparing), "u long, v long")
+    live = live.select("token", F.least("mine", "it").alias("one"), F.greatest("mine", "it").alias("two"), "key", "class", "n", "short", side.alias("side"), "at")
+    # in the order of keys, so that groups of the same sets give the same forest
+    met = live.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "key").mapInArrow(_meetings(similarity, sparing), "u long, v long")
     met = materialize(met.distinct(), "met")
     found = materialize(_still_similar(met, distinct, similarity), "sharing")
     discard(rows, across, met)
@@ -471,23 +487,38 @@ def exactly(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, similarity:
     one, two = (sets.select(F.col("key").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "uv")
     found = pairs.join(one, "u").join(two, "v").withColumn("both", F.size(F.array_intersect("grams_u", "grams_v")))
     found = materialize(found.where(F.col("both") / (F.size("grams_u") + F.size("grams_v") - F.col("both")) >= similarity).select("u", "v"), "links")
-    discard(pairs, rows, sets)
+    discard(rows, sets)
     return found
 
 
+def joined(classes: DataFrame | None, pairs: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """classes (id, component) merged by those of the pairs (u < v, each once; a stored table) whose sets have the similarity."""
+    merged = lambda links: connected_components(links if classes is None else classes.select(F.col("id").alias("u"), F.col("component").alias("v")).union(links))
+    few = materialize(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "few")
+    if pairs.count() > MANY_PAIRS * few.count():
+        classes = merged(exactly(few, docs, distinct, similarity))
+        of = lambda k: classes.select(F.col("id").alias(k), F.col("component").alias(f"class_{k}"))
+        rest = pairs.join(few, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
+        rest = materialize(rest.where(F.coalesce("class_u", "u") != F.coalesce("class_v", "v")).select("u", "v"), "rest")
+        discard(pairs)
+        pairs = rest
+    links = exactly(pairs, docs, distinct, similarity)
+    discard(pairs, few)
+    return merged(links)
+
+
 def similar_sets(docs: DataFrame, similarity: float, width: int = SHINGLE, radius: int = WIDE_RADIUS, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, sets, classes of sets) by all links of at least the similarity: tables of signatures(), of a row for each key, and (id, component)."""
     signed = materialize(signatures(docs, similarity, width), "signatures")
     first = F.min(F.struct("doc_id", "row", "mark", "fp", "n", "bits", "short")).alias("_")
     distinct = materialize(signed.groupBy("key").agg(first, F.min("doc_id").alias("doc_id")).select("key", "doc_id", "_.row", "_.mark", "_.fp", "_.n", "_.bits", "_.short"), "distinct")
-    found = exactly(likely_links(signed, distinct, similarity, radius, block), docs, distinct, similarity)
-    tokens, classes = shared(signed), connected_components(found)
+    classes = joined(None, likely_links(signed, distinct, similarity, radius, block), docs, distinct, similarity)
+    tokens = shared(signed)
     for sparing in (True, False):
         candidates = sharing(tokens, distinct, classes, similarity, sparing)
         if candidates.isEmpty():
             break
-        more = exactly(candidates, docs, distinct, similarity)
-        classes = connected_components(classes.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
+        classes = joined(classes, candidates, docs, distinct, similarity)
     discard(tokens)
     return signed, distinct, classes
 

@@ -4,9 +4,10 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from inkloom.llm import simhash
+from inkloom.llm import common, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -112,3 +113,40 @@ def test_short_bit_maps_are_folded_whole_ones_and_lose_no_similar_pair():
             assert not simhash.may_be_similar(whole, n, simhash.parities(other), n, 0.8)
         if n >= 3000:
             assert simhash.may_be_similar(short, n, simhash.parities(other, simhash.SHORT_BITS), n, 0.8)
+
+
+def test_shingles_of_the_same_sets_are_one_group_and_pairs_that_share_too_late_do_not_meet(spark):
+    w, x = words(104, 700), words(104, 701)
+    # two that are similar, one that shares 12 of its 100 shingles with a fourth
+    docs = spark.createDataFrame(list(enumerate([" ".join(w[:94]), " ".join(w), " ".join(x), " ".join(x[:16] + words(88, 702))])), DOCS)
+    signed = common.materialize(simhash.signatures(docs, 0.8), "signatures")
+    tokens = simhash.shared(signed)
+    key = {r.doc_id: r.key for r in signed.collect()}
+    groups = {}
+    for r in tokens.collect():
+        groups.setdefault(r.token, []).append(r.key)
+    sets = sorted(sorted(g) for g in groups.values())
+    assert sets.count(sorted([key[0], key[1]])) == 1 and len(sets) == len({tuple(s) for s in sets})
+    # two sets of 100 can share no more than what comes after their first shared shingle: 89 are needed
+    row = lambda k, at: (1, 0, 0, k, k, 100, simhash.parities(np.zeros(0, np.uint64)), 0, at)
+    names = ["token", "one", "two", "key", "class", "n", "short", "side", "at"]
+    for at, met in ((11, 1), (12, 0)):
+        batch = pa.RecordBatch.from_pydict(dict(zip(names, zip(row(1, 0), row(2, at)))))
+        assert sum(b.num_rows for b in simhash._meetings(0.8, False)(iter([batch]))) == met
+
+
+def test_members_of_a_group_are_read_in_few_pairs(spark, monkeypatch):
+    base, texts = words(150, 800), []
+    for i in range(30):  # each pair of them is similar
+        texts.append(" ".join([*base[:-1], f"end{i}"]))
+    w = words(104, 801)
+    texts += [" ".join(w), " ".join(w[:70])]  # a candidate that is not
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    signed = common.materialize(simhash.signatures(docs, 0.8), "signatures")
+    keys = [r.key for r in signed.orderBy("doc_id").collect()]
+    pairs = [tuple(sorted((a, b))) for i, a in enumerate(keys[:30]) for b in keys[:i]] + [tuple(sorted(keys[30:]))]
+    read, exactly = [], simhash.exactly
+    monkeypatch.setattr(simhash, "exactly", lambda p, *more: read.append(p.count()) or exactly(p, *more))
+    classes = simhash.joined(None, common.materialize(spark.createDataFrame(pairs, "u long, v long"), "pairs"), docs, signed, 0.8)
+    assert {r.id: r.component for r in classes.collect()} == dict.fromkeys(keys[:30], min(keys[:30]))
+    assert len(pairs) == 436 and sum(read) <= 31
