@@ -50,22 +50,23 @@ _NAMED = r"(?:passwo?r?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth
 _AT, _DOT = r"\x20?(?:\(at\)|\[at\]|\{at\})\x20?", r"\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?"
 # Base patterns come along, so that no candidate begins within a base span; their matches are evidence, and candidates where
 # they fail their check.
-WIDE = "|".join(
-    (
-        r"(?<![A-Za-z0-9])(?i:" + _NAMED + r")\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_.-]{6,200}",
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9.-]+?(?=\.\.|\.?(?![A-Za-z0-9.-]))",
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?i:" + _AT + r")[A-Za-z0-9-]{1,63}(?i:" + _DOT + r"[A-Za-z0-9-]{1,63}){1,4}",
-        r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-        r"(?<![A-Za-z0-9.])[0-9]{1,9}(?:\.[0-9]{1,9}){3}(?![0-9]|\.[0-9])",
-        r"\+[0-9][\x20().0-9-]+[0-9]",
-        r"(?<![A-Za-z0-9.])(?<![0-9][\x20-])(?:[0-9]{4}[.·_/][0-9]{4}[.·_/][0-9]{4}[.·_/][0-9]{4}|[0-9](?:[\x20-]?[0-9]){12,18})(?![A-Za-z0-9]|[\x20-][0-9])",
-        r"(?<![A-Za-z0-9+.)-])(?<![0-9+)]\x20)(?:(?:\([0-9]{3}\)\x20?|00[0-9]{1,3}[\x20-]|[0-9]{3}[\x20.-])?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{9,11})(?![A-Za-z0-9]|[\x20.-][0-9])",
-        r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{10,200}|(?=[0-9]{0,64}[A-Za-z])(?=[A-Za-z]{0,64}[0-9])[A-Za-z0-9]{16,200}(?![A-Za-z0-9]))",
-    )
+CANDIDATES = (
+    r"(?<![A-Za-z0-9])(?i:" + _NAMED + r")\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_.-]{6,200}",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9.-]+?(?=\.\.|\.?(?![A-Za-z0-9.-]))",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?i:" + _AT + r")[A-Za-z0-9-]{1,63}(?i:" + _DOT + r"[A-Za-z0-9-]{1,63}){1,4}",
+    r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    r"(?<![A-Za-z0-9.])[0-9]{1,9}(?:\.[0-9]{1,9}){3}(?![0-9]|\.[0-9])",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+    r"(?<![A-Za-z0-9.])(?<![0-9][\x20-])(?:[0-9]{4}[.·_/][0-9]{4}[.·_/][0-9]{4}[.·_/][0-9]{4}|[0-9](?:[\x20-]?[0-9]){12,18})(?![A-Za-z0-9]|[\x20-][0-9])",
+    r"(?<![A-Za-z0-9+.)-])(?<![0-9+)]\x20)(?:(?:\([0-9]{3}\)\x20?|00[0-9]{1,3}[\x20-]|[0-9]{3}[\x20.-])?[0-9]{3}[\x20.-][0-9]{4}|[0-9]{9,11})(?![A-Za-z0-9]|[\x20.-][0-9])",
+    r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{10,200}|(?=[0-9]{0,64}[A-Za-z])(?=[A-Za-z]{0,64}[0-9])[A-Za-z0-9]{16,200}(?![A-Za-z0-9]))",
 )
+# Within a word only an IPv6 address and a number with a plus sign can begin: most places are passed by at one look.
+WIDE = r"(?=[A-Za-z0-9._%+(-])(?:(?<![A-Za-z0-9])(?:" + "|".join(CANDIDATES) + r")|(?<=[A-Za-z0-9])(?=[0-9A-Fa-f+])(?:" + "|".join((CANDIDATES[3], CANDIDATES[5])) + "))"
 #: A text without these has no match.
-NEEDS = {"email": r"@", "ip": r"[0-9][.]", "card": r"[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]"}
-WIDE_NEEDS = r"@|[0-9][0-9:.-]{2}|[0-9]{2}\x20[0-9]|(?i:[(\[{]at[)\]}]|passw|pwd|secret|token|key)"
+NEEDS = {"email": r"@", "ip": r"[0-9][.]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+# letter by letter: the classes of a pattern that ignores case are slower, and every text is searched for these
+WIDE_NEEDS = r"(?=[@0-9(\[{pPsStTkK])(?:@|[0-9][0-9:.-]{2}|[0-9]{2}\x20[0-9]|[(\[{][aA][tT][)\]}]|[pP](?:[aA][sS][sS][wW]|[wW][dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[kK][eE][yY])"
 # The words of the gazetteers and contexts, and the strict forms.
 CUES = {
     "email": r"(?i)e-?mail|mail|contact|write|reach|correo|courriel|kontakt|adress",

@@ -197,3 +197,15 @@ def test_query_columns(spark, tmp_path):
     got = {r.doc_id: r for r in pii.op3_weak_supervision_pii(spark, str(tmp_path)).collect()}
     assert got[1].spans == "email:0:6" and got[1].base_sha256 == hashlib.sha256(b"email:0:6").hexdigest()
     assert got[2].spans == "" and got[2].n_email == 0
+
+
+def test_the_wide_pattern_matches_what_its_parts_do(spark):
+    rng = random.Random(11)
+    pieces = ["a.b@mail.example.org", "joe (at) site (dot) de", "x" * 70 + " [at] y.org", "1:2:3:4:5:6:7:8", "zz9:a:b:c:d:1:2:3:4", "10.0.0.256", "+49 (30) 1234567", "tel+4912345678", "4111-1111-1111-1111", "4111.1111.1111.1111", "(212) 555-1234", "token=abc123def", "PASSWD: hunter2", "AKIAABCDEFGHIJ12", "a1b2c3d4e5f6a7b8c9", "word", "ſecret kEY", "0x3f:", "-", "+", " ", ".", "_", "é", "12"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "  ", ". "]) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    before = r"@|[0-9][0-9:.-]{2}|[0-9]{2}\x20[0-9]|(?i:[(\[{]at[)\]}]|passw|pwd|secret|token|key)"
+    every = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    got = rows.select(every(pii.WIDE).alias("wide"), every("|".join(pii.CANDIDATES).replace("{1,64}+", "{1,64}")).alias("parts"), F.col("text").rlike(pii.WIDE_NEEDS).alias("needs"), F.col("text").rlike(before).alias("before")).collect()
+    assert all(r.wide == r.parts and r.needs == r.before for r in got)
+    assert sum(len(r.wide) for r in got) > 3000 and 0 < sum(r.needs for r in got) < len(got)
