@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow.compute as pc
 
 #: Pre-tokens that a worker's cache holds at most; then it starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
 # Texts of these characters alone are split here; for them the two classes below are all letters and numbers.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ſ]*")
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -37,7 +37,8 @@ class Cache:
         return np.fromiter(map(self.place.__getitem__, strings), np.int32)
 
     def unknown(self) -> list[str]:
-        return list(itertools.islice(self.place, len(self.ends) - 1, None))
+        # from the end, so that a batch does not walk over all that is known
+        return list(itertools.islice(reversed(self.place), len(self.place) - len(self.ends) + 1))[::-1]
 
     def learn(self, sizes: np.ndarray, ids: np.ndarray) -> None:
         begin = int(self.ends[-1])

@@ -41,6 +41,16 @@ def test_encoder_equals_the_library(tokenizer):
     assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [[*ids_of(tokenizer, t), 7] for t in texts]
 
 
+def test_encoder_keeps_what_it_learned_of_half_a_million_words(tokenizer):
+    fresh = encoding.Encoder(encoding.default_tokenizer(), 0)
+    words = [f" {i:x}" for i in range(500_000)]
+    fresh.words.numbers(words)
+    assert fresh.words.unknown() == words
+    fresh.words.learn(np.ones(len(words), np.int64), np.zeros(len(words), np.int32))
+    fresh.encode(["a b"])
+    assert len(fresh.words.place) > len(words)
+
+
 def test_op1_round_trip(spark, tmp_path, tokenizer):
     docs = odd_documents(spark)
     got = [tuple(r) for r in token_store.op1_token_orc(spark, written(docs, tmp_path)).collect()]
