@@ -53,6 +53,9 @@ SEED = 42
 BLOCK = 8192
 MOST_BLOCK = 1 << 20
 _BLOCKS = 64  # blocks of all fingerprints between these bounds
+#: Of a class that a row may be tied to, so many members that may be similar are looked at, and the closest is the candidate.
+#: What the first search leaves apart for it, the second finds.
+LOOKED_AT = 16
 _STEP, _WIDTH = 256, 1 << 16  # rows and columns of blocks that are compared at once
 #: For verified links: the radius of the first search, at which few unrelated texts are candidates. Pairs beyond it are
 #: found by the second.
@@ -118,11 +121,16 @@ def folded(bits: bytes, size: int) -> int:
     return x
 
 
-def may_be_similar(one: bytes, n: int, other: bytes, m: int, similarity: float) -> bool:
-    """False only if sets of n and m members with these bit maps are less similar: each differing bit is a member of one alone."""
+def spare(one: bytes, n: int, other: bytes, m: int, similarity: float) -> float:
+    """How many members more than similar sets need may be shared by sets of n and m members with these bit maps: each differing bit is a member of one alone."""
     size = min(len(one), len(other))
     apart = (folded(one, size) ^ folded(other, size)).bit_count()
-    return n + m - apart >= 2 * (n + m) * (similarity / (1 + similarity)) - 1e-6
+    return n + m - apart - 2 * (n + m) * (similarity / (1 + similarity))
+
+
+def may_be_similar(one: bytes, n: int, other: bytes, m: int, similarity: float) -> bool:
+    """False only if sets of n and m members with these bit maps are less similar."""
+    return spare(one, n, other, m, similarity) >= -1e-6
 
 
 def shingle_set(text: str | None, width: int = SET_SHINGLE) -> np.ndarray:
@@ -263,10 +271,22 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     return points[moved], points[label[moved]]
 
 
+def _closest(row: int, others: list[int], classes: list[int], sizes: np.ndarray, bits: list[bytes], similarity: float) -> list[int]:
+    """The closest to row of the first LOOKED_AT of each class of others that may be similar."""
+    best: dict[int, tuple[float, int]] = {}
+    looked: dict[int, int] = {}
+    for j, c in zip(others, classes):
+        if looked.get(c, 0) < LOOKED_AT and (more := spare(bits[row], int(sizes[row]), bits[j], int(sizes[j]), similarity)) >= -1e-6:
+            looked[c] = looked.get(c, 0) + 1
+            best[c] = max(best.get(c, (more, j)), (more, j), key=lambda x: x[0])
+    return [j for _, j in best.values()]
+
+
 def alike(fps: np.ndarray, sizes: np.ndarray, bits: list[bytes], split: int | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links (row numbers) between rows that are within radius and whose sets may be similar, unless earlier ones tie both ends.
 
-    fps[:split] and fps[split:] are the blocks. Unlike those of linked(), the links are pairs that were compared.
+    fps[:split] and fps[split:] are the blocks. Unlike those of linked(), the links are pairs that were compared. A row has one
+    link to each class of others, so that two blocks of a group of n near copies give n links, not a quarter of n squared.
     """
     forest, us, vs = Forest(len(fps)), [], []
     ends, shift = (len(fps), 0) if split is None else (split, split)
@@ -281,7 +301,7 @@ def alike(fps: np.ndarray, sizes: np.ndarray, bits: list[bytes], split: int | No
                 others = others[forest.roots(others) != forest.roots(np.array([row]))[0]]
                 n = sizes[row]
                 others = others[np.minimum(sizes[others], n) >= similarity * np.maximum(sizes[others], n) - 1e-6]
-                good = [int(j) for j in others if may_be_similar(bits[row], int(n), bits[j], int(sizes[j]), similarity)]
+                good = _closest(row, others.tolist(), forest.roots(others).tolist(), sizes, bits, similarity)
                 if good:
                     forest.merge(row, np.array(good))
                     us += [row] * len(good)

@@ -150,3 +150,15 @@ def test_members_of_a_group_are_read_in_few_pairs(spark, monkeypatch):
     classes = simhash.joined(None, common.materialize(spark.createDataFrame(pairs, "u long, v long"), "pairs"), docs, signed, 0.8)
     assert {r.id: r.component for r in classes.collect()} == dict.fromkeys(keys[:30], min(keys[:30]))
     assert len(pairs) == 436 and sum(read) <= 31
+
+
+def test_near_copies_in_two_blocks_are_tied_by_as_many_links_as_rows():
+    rng, base = np.random.default_rng(7), np.random.default_rng(6).integers(0, 2**64, 300, np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(0, 2**64, 3, np.uint64))) for _ in range(120)]
+    fps, sizes = np.full(120, 5, np.uint64), np.array([len(s) for s in sets])
+    bits = [simhash.parities(s) for s in sets]
+    for split in (60, None):
+        u, v = simhash.alike(fps, sizes, bits, split, simhash.WIDE_RADIUS, 0.8)
+        # one tree; all pairs of the two blocks were 3,600 links
+        assert len(u) == 119 and len(set(brute.components(120, list(zip(u.tolist(), v.tolist()))))) == 1
+        assert split is None or all((a < split) != (b < split) for a, b in zip(u.tolist(), v.tolist()))
