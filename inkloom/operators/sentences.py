@@ -29,7 +29,7 @@ def page_paragraphs(pages: DataFrame, least: int = MIN_PARAGRAPH) -> DataFrame:
     shuffled. paragraph_id counts prose blocks from 0.
     """
     blank = F.coalesce(T.strip("raw_text"), F.lit("")) == ""
-    stripped = pages.where(~blank).withColumn("_text", arrow_text.without_files(T.break_sections(arrow_text.strip_markup("raw_text"))))
+    stripped = pages.where(~blank).withColumn("_text", arrow_text.stripped_page("raw_text"))
     blocks = T.paragraphs("_text")
     start = F.struct(F.lit(None).cast("string").alias("header"), F.array().cast("array<struct<header:string,text:string>>").alias("out"))
 
