@@ -33,7 +33,7 @@ def evaluated(frame):
     return frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
 
 
-@pytest.mark.parametrize("name,plain", [("strip_markup", arrow_text.stripped_markup), ("normalized_text", arrow_text.plain_text), ("without_templates", lambda t: arrow_text.outside(t, "{{", "}}")), ("nfc", lambda t: unicodedata.normalize("NFC", t))])
+@pytest.mark.parametrize("name,plain", [("strip_markup", arrow_text.stripped_markup), ("normalized_text", arrow_text.plain_text), ("without_templates", lambda t: arrow_text.outside(t, "{{", "}}")), ("nfc", lambda t: unicodedata.normalize("NFC", t)), ("nfkc", lambda t: unicodedata.normalize("NFKC", t))])
 def test_texts_are_worked_off_in_parts(name, plain):
     values = [None if t is None else t * 40 for t in TEXTS] * 3
     parts = in_parts(getattr(arrow_text, name), values)
