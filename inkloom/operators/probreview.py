@@ -1,17 +1,18 @@
 """Article and author scores from token lineage and review graphs.
 
 A page is a row with all its revisions, so that pages are scored where they lie:
-no shuffle, and one page's memory at a time. Authors are then aggregated with
+no shuffle, and of a batch of pages one revision's tokens are read at a time. Authors are then aggregated with
 partial sums before the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ class Lineage:
     users: list[str]
 
 
-def lineage(revisions: list[tuple[str, list[str]]], config: Config) -> Lineage:
+def lineage(revisions: Iterable[tuple[str, list[str]]], config: Config) -> Lineage:
     """Follow tokens over (user, tokens) revisions in order.
 
     State is kept for the current revision's tokens alone, as arrays: what is
@@ -125,8 +126,13 @@ def score_page(revisions: list[tuple[str, list[str]]], config: Config = Config()
     """(n_tokens, n_users, iterations, converged, quality, user_scores), or None for a page without revisions or final tokens."""
     if not revisions or not revisions[-1][1]:
         return None
-    quality, users, steps, converged = solved(lineage(revisions, config), config)
-    return len(revisions[-1][1]), len(users), steps, converged, quality, users
+    return _scored(revisions, config)
+
+
+def _scored(revisions: Iterable[tuple[str, list[str]]], config: Config) -> tuple:
+    found = lineage(revisions, config)
+    quality, users, steps, converged = solved(found, config)
+    return len(found.author), len(users), steps, converged, quality, users
 
 
 SCORES = "page_id string, title string, quality_score double, n_tokens long, n_users long, iterations long, converged boolean, citation_count long, user_scores map<string,double>"
@@ -144,21 +150,41 @@ def prepared(pages: DataFrame, text: str = "clean_text") -> DataFrame:
     )
 
 
+# Fixed value: user scores in a batch of results, beyond which the next page begins another.
+BATCH_USERS = 10_000
+_RESULT = pa.schema({c: {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}.get(t, pa.map_(pa.string(), pa.float64())) for c, t in map(str.split, SCORES.split(", "))})
+
+
+def page_scores(batch: pa.RecordBatch, config: Config) -> Iterator[tuple]:
+    """Rows of SCORES of the pages of a batch, which stays in Arrow: tokens are Python strings for one revision at a time."""
+    for row in range(batch.num_rows):
+        page, title, citations, names, tokens = (batch.column(c)[row] for c in ("page_id", "title", "citation_count", "names", "tokens"))
+        if names.values is None or not len(names) or not len(tokens.values[-1].values):
+            continue
+        n_tokens, n_users, steps, converged, quality, users = _scored(((u.as_py(), t.values.to_pylist()) for u, t in zip(names.values, tokens.values)), config)
+        yield page.as_py(), title.as_py(), round(quality, 8), n_tokens, n_users, steps, converged, citations.as_py(), list(users.items())
+
+
 def score_pages(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """Scores of prepared pages; those without revisions or final tokens give no row."""
 
+    def result(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), _RESULT)], schema=_RESULT)
+
     def score(batches):
-        for pdf in batches:
-            out = []
-            for page, title, citations, names, tokens in pdf.itertuples(index=False):
-                found = score_page([(u, list(t)) for u, t in zip(names, tokens)], config)
-                if found:
-                    n_tokens, n_users, steps, converged, quality, users = found
-                    out.append((page, title, round(quality, 8), n_tokens, n_users, steps, converged, citations, users))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")])
+        for batch in batches:
+            rows, users = [], 0
+            for row in page_scores(batch, config):
+                rows.append(row)
+                users += row[4]
+                if users > BATCH_USERS:
+                    yield result(rows)
+                    rows, users = [], 0
+            if rows:
+                yield result(rows)
 
     columns = pages.select("page_id", "title", "citation_count", "names", "tokens")
-    return columns.mapInPandas(score, SCORES)
+    return columns.mapInArrow(score, SCORES)
 
 
 def article_scores(scores: DataFrame) -> DataFrame:

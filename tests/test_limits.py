@@ -1,5 +1,7 @@
 """Operators against their limits of memory and shuffle: what a worker holds at once, and what a plan sends."""
 
+import random
+import tracemalloc
 import unicodedata
 
 import pyarrow as pa
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import arrow_text
 from inkloom.functions import text as T
-from inkloom.operators import sentences
+from inkloom.operators import probreview, sentences
 
 TEXTS = ["", None, "x", "{{a}}é[[File:b]] ﬁ" * 9, "a<b>c</b>" * 400, "==\xa0H = ==\n", "===a===b==", "x\n== H ==y<!-- z -->", None, "Ω" * 5000]
 
@@ -57,3 +59,33 @@ def test_page_text_is_its_steps_in_one_evaluation(spark):
     for r in rows.select(steps.alias("a"), arrow_text.stripped_page("raw_text").alias("b")).collect():
         assert r.a == r.b
     assert evaluated(sentences.page_paragraphs(rows)) == 1
+
+
+def random_tokens(seed):
+    chance = random.Random(seed)
+    return lambda n: [chance.choice("abcdefghij") for _ in range(n)]
+
+
+def test_pages_are_scored_without_a_batch_in_python(spark):
+    token = random_tokens(3)
+    pages = [("p", "t", 4, ["u", "v", "u"], [token(50), token(60), token(55)]), ("none", "", 0, [], []), ("end", "", 0, ["u", "v"], [token(5), []]), ("q", "", 1, ["w"], [token(7)]), (None, "", 2, ["x", "y"], [[], token(9)])]
+    frame = spark.createDataFrame(pages, "page_id string, title string, citation_count long, names array<string>, tokens array<array<string>>").coalesce(1)
+    want = {p: probreview.score_page(list(zip(u, t))) for p, _, _, u, t in pages}
+    got = probreview.score_pages(frame).collect()
+    assert {r.page_id for r in got} == {"p", "q", None} == {p for p, w in want.items() if w}
+    for r in got:
+        assert (r.n_tokens, r.n_users, r.iterations, r.converged, r.quality_score) == (*want[r.page_id][:4], round(want[r.page_id][4], 8))
+        assert r.user_scores == want[r.page_id][5]
+    assert {r.page_id: (r.title, r.citation_count) for r in got}["p"] == ("t", 4)
+
+
+def test_a_batch_of_pages_takes_the_memory_of_a_revision():
+    token = random_tokens(5)
+    revision = [f"{t}{i}" for i, t in enumerate(token(300))]
+    fields = {"page_id": [str(i) for i in range(400)], "title": [""] * 400, "citation_count": [0] * 400, "names": [["u"] * 10] * 400, "tokens": [[revision] * 10] * 400}
+    batch = pa.RecordBatch.from_pydict(fields)
+    tracemalloc.start()
+    assert sum(1 for _ in probreview.page_scores(batch, probreview.Config())) == 400
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000  # its 1,200,000 tokens are over 60 MB of Python strings
