@@ -23,18 +23,31 @@ def unigram_counts(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(F.explode(word_tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+#: A word with at least this share of all tokens is looked up without a shuffle; there are no more such words than its inverse.
+FREQUENT = 1e-6
+#: Rows without a word of their own in the join of the other words are dealt to so many keys, which no word equals.
+DEALT = 4096
+
+
 def unigram_perplexity(rows: DataFrame, key: str, counts: DataFrame | None = None, text: str = "text") -> DataFrame:
     """rows with perplexity_score: exp of the mean negative log of add-one probabilities; infinite without tokens.
 
-    Each text's tokens are counted first, so that a frequent word is one row per
-    text in the join, which adaptive execution splits where it is hot.
+    Frequent words are broadcast, so that they are summed up by text where they
+    are read and a text sends one row for all of them. Other words are a row per
+    text and word in the join, which adaptive execution splits where it is hot.
     """
     counts = counts if counts is not None else unigram_counts(rows, text)
     totals = counts.agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-    rates = with_scalars(counts, totals).select("token", (-F.ln((F.col("n") + 1) / (F.col("total") + F.col("types") + 1))).alias("loss"))
-    used = rows.select(key, F.explode(word_tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("k"))
+    frequent = F.col("n") >= F.col("total") * FREQUENT
+    rates = with_scalars(counts, totals).select("token", frequent.alias("frequent"), (-F.ln((F.col("n") + 1) / (F.col("total") + F.col("types") + 1))).alias("loss"))
     unseen = totals.select((-F.ln(1 / (F.col("total") + F.col("types") + 1))).alias("unseen"))
-    losses = with_scalars(used.join(rates, "token", "left"), unseen).groupBy(key).agg((F.sum(F.coalesce("loss", "unseen") * F.col("k")) / F.sum("k")).alias("_loss"))
+    hot, rare = rates.where("frequent").drop("frequent"), rates.where("not frequent").select(F.col("token").alias("_word"), F.col("loss").alias("_rare"))
+    read = rows.select(key, F.explode(word_tokens(text)).alias("token")).join(F.broadcast(hot), "token", "left")
+    dealt = F.concat(F.lit(" "), F.pmod(F.xxhash64(key), F.lit(DEALT)).cast("string"))
+    word = F.when(F.col("loss").isNotNull(), dealt).otherwise(F.col("token")).alias("_word")
+    used = read.groupBy(key, word).agg(F.sum("loss").alias("loss"), F.count("*").alias("k"))
+    each = F.coalesce("loss", F.coalesce("_rare", "unseen") * F.col("k"))
+    losses = with_scalars(used.join(rare, "_word", "left"), unseen).groupBy(key).agg((F.sum(each) / F.sum("k")).alias("_loss"))
     return rows.join(losses, key, "left").withColumn("perplexity_score", F.coalesce(F.exp("_loss"), F.lit(float("inf")))).drop("_loss")
 
 

@@ -1,8 +1,11 @@
 """Operators against their limits of memory and shuffle: what a worker holds at once, and what a plan sends."""
 
+import math
 import random
+import re
 import tracemalloc
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import arrow_text
 from inkloom.functions import text as T
-from inkloom.operators import probreview, sentences
+from inkloom.operators import probreview, scoring, sentences
 
 TEXTS = ["", None, "x", "{{a}}é[[File:b]] ﬁ" * 9, "a<b>c</b>" * 400, "==\xa0H = ==\n", "===a===b==", "x\n== H ==y<!-- z -->", None, "Ω" * 5000]
 
@@ -89,3 +92,54 @@ def test_a_batch_of_pages_takes_the_memory_of_a_revision():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2_000_000  # its 1,200,000 tokens are over 60 MB of Python strings
+
+
+def plain_perplexities(rows, counts):
+    total, types = sum(counts.values()), len(counts)
+    out = {}
+    for key, text in rows:
+        losses = [-math.log((counts.get(w, 0) + 1) / (total + types + 1)) for w in re.findall(r"\w+", (text or "").lower())]
+        out[key] = math.exp(math.fsum(losses) / len(losses)) if losses else math.inf
+    return out
+
+
+@pytest.mark.parametrize("share", [1e-6, 0.02, 0.2, 1.1])
+@pytest.mark.parametrize("given", [False, True])
+def test_perplexity_is_the_same_whichever_words_are_frequent(spark, monkeypatch, share, given):
+    monkeypatch.setattr(scoring, "FREQUENT", share)
+    chance = random.Random(7)
+    rows = [(i, " ".join(chance.choice(["the", "a", "The", f"w{chance.randrange(40)}"]) for _ in range(chance.randrange(1, 90)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, " .,"), (103, "once"), (104, "once again once")]
+    frame = spark.createDataFrame(rows, "key long, text string").repartition(5)
+    counts = Counter(w for _, t in rows for w in re.findall(r"\w+", (t or "").lower()))
+    if given:
+        counts = {w: n for w, n in counts.items() if w not in ("a", "once")}
+    table = spark.createDataFrame(list(counts.items()), "token string, n long") if given else None
+    got = {r.key: r.perplexity_score for r in scoring.unigram_perplexity(frame, "key", table).collect()}
+    assert got == pytest.approx(plain_perplexities(rows, counts), rel=1e-12)
+
+
+def most_sent(plan):
+    """Most rows that a shuffle of an executed plan wrote."""
+    found, left = [], [plan]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        if name == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return max(found, default=0)
+
+
+def test_perplexity_sends_no_row_for_each_frequent_word(spark):
+    """400 texts of the same 300 words: a row a text is sent, not one a word of a text."""
+    rows = spark.range(0, 400, 1, 4).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.lit("w"), i)), " ").alias("text"))
+    frame = scoring.unigram_perplexity(rows, "id").select("id", "perplexity_score")
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    assert 0 < most_sent(plan) <= 4 * 400
