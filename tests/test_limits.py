@@ -138,7 +138,7 @@ def most_sent(plan):
 
 def test_perplexity_sends_no_row_for_each_frequent_word(spark):
     """400 texts of the same 300 words: a row a text is sent, not one a word of a text."""
-    rows = spark.range(0, 400, 1, 4).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.lit("w"), i)), " ").alias("text"))
+    rows = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(300))) for i in range(400)], "id long, text string")
     frame = scoring.unigram_perplexity(rows, "id").select("id", "perplexity_score")
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan()
